@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import general
+from loomgraph.plans import evaluation, general, graph, retrieval, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "p3_found"
-for _m in (general,):
+FLAGSHIP = "mode_hi_local"
+for _m in (general, text, graph, evaluation, retrieval):
     QUERIES |= _m.R.queries
     ORACLES |= _m.R.oracles
