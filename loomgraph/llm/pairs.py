@@ -14,7 +14,7 @@ Empty responses, copies of the question and refusals are found by what they cons
 order is empty, copied_question, refusal, other_language, truncated.
 
 Defined results: a null response is empty; with a null or empty prompt, neither copied_question nor other_language can be
-told; a response of a few letters isn't judged by language unless its script differs; ties and repeated rows are judged alike.
+told, nor the latter with a prompt of under six letters; a response of a few letters isn't judged by language unless its script differs; ties and repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -91,8 +91,15 @@ def fit_languages(documents: DataFrame) -> Languages:
 
 
 _QUOTED = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|\"[^\"\n]{3,}\"|“[^”\n]{3,}”|«[^»\n]{3,}»|„[^“”\n]{3,}[“”]", regex.S)
-_LETTER = regex.compile(r"\p{L}")
-LANG_MARGIN, LANG_RATE, LANG_LETTERS = 12.0, 0.12, 25
+_LETTER, _HAN, _CYRILLIC = (regex.compile(x) for x in (r"\p{L}", r"\p{Han}", r"\p{Cyrillic}"))
+LANG_MARGIN, LANG_RATE, LANG_LETTERS, QUERY_LETTERS = 12.0, 0.12, 25, 6
+
+
+def script(text: str) -> str:
+    """The script most letters of a text are in: han, cyrillic or other."""
+    han, cyr = len(_HAN.findall(text)), len(_CYRILLIC.findall(text))
+    rest = len(_LETTER.findall(text)) - han - cyr
+    return max((rest, "other"), (han, "han"), (cyr, "cyrillic"))[1]
 
 
 def other_language(model: Languages, query: str, answer: str) -> bool:
@@ -100,7 +107,7 @@ def other_language(model: Languages, query: str, answer: str) -> bool:
     if len(_LETTER.findall(prose)) < LANG_LETTERS and len(_LETTER.findall(answer)) >= LANG_LETTERS:
         prose = answer
     letters = len(_LETTER.findall(prose))
-    if not letters or not _LETTER.search(query):
+    if not letters or len(_LETTER.findall(query)) < QUERY_LETTERS:
         return False
     a, q = model.scores(prose), model.scores(query)
     mine, asked = int(a.argmax()), int(q.argmax())
@@ -111,8 +118,8 @@ def other_language(model: Languages, query: str, answer: str) -> bool:
     shared = int(both.argmax())
     apart = (a[mine] - a[shared]) + (q[asked] - q[shared])
     gap = a[mine] - a[asked]
-    if letters < LANG_LETTERS:
-        return gap > 2.5 * letters and apart > LANG_MARGIN / 2
+    if letters < LANG_LETTERS:  # too short for counts: only a script that no letter of the prompt is in
+        return script(prose) != script(query)
     return gap > LANG_MARGIN and apart > LANG_MARGIN and gap / letters > LANG_RATE
 
 
