@@ -44,7 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
     where = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)._jdf
+    # A checkpointed plan keeps the size estimate and the constraints of the plan it replaces. Estimates of joins are products, so
+    # in a loop their digits would multiply until planning takes minutes: the rows are taken over without them.
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
