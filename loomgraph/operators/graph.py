@@ -80,6 +80,15 @@ def edge_costs(edges: DataFrame, vectors: DataFrame, query: DataFrame, alpha: fl
     return e.select("query_id", "src", "tgt", cost.alias("cost"))
 
 
+def candidate_costs(candidates: DataFrame, edges: DataFrame, vectors: DataFrame, query: DataFrame, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05) -> DataFrame:
+    """edge_costs for the given (query_id, src, tgt) only; hubs are still measured against all edges."""
+    e = edge_degrees(edges)
+    top = e.agg(F.max("edge_degree").alias("top"))
+    x = candidates.select("query_id", "src", "tgt").join(e, ["src", "tgt"]).join(vectors, ["src", "tgt"]).join(query, "query_id").join(F.broadcast(top))  # one row
+    cost = alpha * (1 - cosine(F.col("vec"), F.col("qvec"))) + beta * F.col("edge_degree") / F.col("top") + gamma / (1 + F.col("weight"))
+    return x.select("query_id", "src", "tgt", cost.alias("cost"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its least node). Each round spreads the least label to neighbours and then jumps to that label's own
     label, so long paths need a logarithmic number of rounds."""
@@ -124,10 +133,10 @@ def triangle_stats(edges: DataFrame) -> DataFrame:
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """origin, node, hops: breadth-first distances up to depth from seeds(node). Each level joins only the last frontier, and
-    what was visited is taken out by an anti-join."""
+    """origin, node, hops: breadth-first distances up to depth from seeds(node[, origin]); seeds of one origin spread together. Each
+    level joins only the last frontier, and what was visited is taken out by an anti-join."""
     sym = both_ways(edges).select("u", "v").distinct()
-    seen = cut(seeds.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops")).distinct())
+    seen = cut(seeds.select(F.col("origin" if "origin" in seeds.columns else "node").alias("origin"), "node", F.lit(0).alias("hops")).distinct())
     front = seen
     for k in range(1, depth + 1):
         nxt = front.select("origin", F.col("node").alias("u")).join(sym, "u").select("origin", F.col("v").alias("node")).distinct()

@@ -10,6 +10,7 @@ import heapq
 import math
 import random
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -264,18 +265,20 @@ def through(net: Net, keys: list[str], o: PathOptions) -> tuple[list[str], list[
 RESULT = "query_id string, path array<string>, decisions array<struct<source: string, target: string, decision: string, path_edges: int>>"
 
 
-def bridge_paths(edges: DataFrame, keys: DataFrame, options: PathOptions = PathOptions(), radius: int = 4, costs: DataFrame | None = None) -> DataFrame:
-    """query_id, path, decisions. edges: src, tgt[, tokens]; keys: query_id, keys (ordered array); costs: query_id, src, tgt, cost.
+def bridge_paths(edges: DataFrame, keys: DataFrame, options: PathOptions = PathOptions(), radius: int = 4, costs: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, path, decisions. edges: src, tgt[, tokens]; keys: query_id, keys (ordered array); costs: query_id, src, tgt, cost, or a
+    function that gives them for the candidate edges (query_id, src, tgt).
 
     A query's graph is what lies within `radius` edges of its keys; it is collected into that query's own task only."""
     key = cut(keys.select(F.col("query_id").cast("string").alias("query_id"), "keys"))
-    seeds = key.select(F.explode("keys").alias("node")).distinct()
-    ball = hops(edges, seeds, radius).select(F.col("origin").alias("k"), "node").distinct()
-    near = key.select("query_id", F.explode("keys").alias("k")).distinct().join(ball, "k").select("query_id", "node").distinct()
+    seeds = key.select(F.col("query_id").alias("origin"), F.explode("keys").alias("node")).distinct()
+    near = hops(edges, seeds, radius).select(F.col("origin").alias("query_id"), "node")  # all keys of a query spread together
     e = edges.select("src", "tgt", (F.col("tokens") if "tokens" in edges.columns else F.lit(0)).alias("tokens"))
     mine = near.withColumnRenamed("node", "src").join(e, "src").join(near.withColumnRenamed("node", "tgt"), ["query_id", "tgt"])
     if costs is not None:
-        mine = cut(mine).join(costs.select(F.col("query_id").cast("string").alias("query_id"), "src", "tgt", "cost"), ["query_id", "src", "tgt"], "left")
+        mine = cut(mine)
+        costs = costs(mine) if callable(costs) else costs
+        mine = mine.join(costs.select(F.col("query_id").cast("string").alias("query_id"), "src", "tgt", "cost"), ["query_id", "src", "tgt"], "left")
     else:
         mine = mine.withColumn("cost", F.lit(None).cast("double"))
 

@@ -147,7 +147,7 @@ def bridge(ix: Index, queries: DataFrame, keys: DataFrame, o: QueryOptions) -> t
     """(paths with their decisions, edges among the path's nodes within the budget)."""
     costs = None
     if o.paths.strategy not in ("none", "unweighted"):
-        costs = cut(graph.edge_costs(ix.edges.select("src", "tgt", "weight"), ix.edge_vectors, queries, o.alpha, o.beta, o.gamma))
+        costs = lambda cand: graph.candidate_costs(cand, ix.edges.select("src", "tgt", "weight"), ix.edge_vectors, queries, o.alpha, o.beta, o.gamma)
     p = cut(paths.bridge_paths(ix.edges.select("src", "tgt", "tokens"), keys, o.paths, o.radius, costs))
     on = p.select("query_id", F.explode("path").alias("node")).distinct()
     e = graph.edge_degrees(ix.edges).select("src", "tgt", "weight", "tokens", "edge_degree")
