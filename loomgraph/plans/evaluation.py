@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.functions import records as fr
 from loomgraph.functions.text import fold_name
-from loomgraph.operators import batchio, evaluate, nested
+from loomgraph.operators import batchio, evaluate, limits, nested
 from loomgraph.plans.registry import Registry
 from loomgraph.plans.text import WORDS
 from loomgraph.session import table
@@ -136,3 +136,11 @@ def vote(s, d):
     h = vectors.topk(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 20)
     v = h.join(e.select("vec_id", F.col("label").cast("bigint").alias("community")), "vec_id").groupBy("query_id", "community").agg(F.count("*").alias("hits"))
     return v.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "community")).cast("bigint"))
+
+
+R.add("chat_token_estimate", """SELECT run_id, (sum(coalesce(input_tokens, 0) + 4) + 2)::BIGINT AS estimate FROM retrieval_trace_metrics GROUP BY 1""")(
+    lambda s, d: limits.chat_tokens(table(s, d, M).select("run_id", F.coalesce("input_tokens", F.lit(0)).alias("t")), "run_id", "t")
+)
+R.add("clamped_outputs", """SELECT delivery_id, greatest(1, least(4096, 16384 - input_tokens - 2048)) AS cap FROM retrieval_trace_metrics WHERE input_tokens IS NOT NULL""")(
+    lambda s, d: table(s, d, M).filter("input_tokens IS NOT NULL").select("delivery_id", limits.clamped_output(F.lit(4096), F.lit(16384), F.col("input_tokens")).alias("cap"))
+)
