@@ -56,5 +56,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the package lies; workers are told, so that a query runs from any working folder.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, env.get("PYTHONPATH"))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
