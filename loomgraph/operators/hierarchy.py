@@ -1,11 +1,12 @@
-"""Soft clustering in layers: projection, Gaussian mixtures chosen by BIC, overlapping assignment, cluster summaries.
+"""Soft clustering in layers: projection, Gaussian mixtures chosen by BIC, overlapping assignment.
 
-Only statistics of fixed size (a covariance matrix, the moments of at most `most` mixtures of at most `most` parts) reach the
-driver; every pass covers all vectors. All candidate numbers of parts are fitted in the same passes. The projection is PCA on
-unit vectors, where the usual tool would be a stochastic neighbour embedding."""
+Only statistics of fixed size (a covariance matrix, a sample of SAMPLE points for the first means, the moments of a block of
+mixtures of at most `most` parts) reach the driver; every pass of a fit covers all vectors. The projection is PCA on unit vectors,
+where the usual tool would be a stochastic neighbour embedding."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
+#: Points that the first means are chosen from.
+SAMPLE = 4096
+
 
 def _vectors(b: pa.RecordBatch) -> np.ndarray:
     x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
@@ -73,19 +77,39 @@ def _soft(x: np.ndarray, model) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(lp - ll[:, None]), ll
 
 
-def fit_mixtures(points: DataFrame, most: int = 6, steps: int = 12) -> tuple[list, dict[int, float]]:
-    """Mixtures of 1..most parts and their BIC. points: key, x."""
-    first = points.select("x").orderBy(F.xxhash64("x")).limit(most).collect()
-    if not first:
-        return [], {}
-    d = len(first[0].x)
-    seeds = np.array([r.x for r in first])
-    spread = points.select(*[F.stddev_pop(F.get("x", F.lit(i))) for i in range(d)]).first()
-    base = np.diag([max(float(v or 0), 1e-3) ** 2 for v in spread])
-    models = [(np.full(k, 1 / k), seeds[:k].copy(), np.array([base] * k)) for k in range(1, min(most, len(seeds)) + 1)]
-    lls, n = [0.0] * len(models), 0
-    for _ in range(steps):
-        now = models
+def _seeds(x: np.ndarray, k: int, tries: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A first mixture of k parts: k-means++ and a few moves of the means on a sample, the tightest of some tries."""
+    best, least = None, np.inf
+    for t in range(tries):
+        rng = np.random.default_rng([k, t])
+        mu = x[[rng.integers(len(x))]]
+        far = ((x - mu[0]) ** 2).sum(1)
+        while len(mu) < k:
+            at = rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))
+            mu = np.vstack([mu, x[at]])
+            far = np.minimum(far, ((x - x[at]) ** 2).sum(1))
+        for _ in range(10):
+            dist = ((x[:, None] - mu[None]) ** 2).sum(2)
+            own = dist.argmin(1)
+            mu = np.array([x[own == j].mean(0) if (own == j).any() else mu[j] for j in range(k)])
+        if dist.min(1).sum() < least:
+            best, least = (own, mu), dist.min(1).sum()
+    own, mu = best
+    gap = x - mu[own]
+    pooled = gap.T @ gap / len(x)
+    n = np.bincount(own, minlength=k)
+    cov = np.array([(gap[own == j].T @ gap[own == j] + pooled) / (n[j] + 1) for j in range(k)])
+    return (n + 1) / (n + 1).sum(), mu, cov
+
+
+def _fit(points: DataFrame, models: list, steps: int, tol: float) -> tuple[list, list[float], float]:
+    """EM over all points, all models in the same passes, each until its mean log likelihood gains less than tol. The log
+    likelihoods are those of the models returned."""
+    d = models[0][1].shape[1]
+    done, lls, n = [None] * len(models), [-np.inf] * len(models), 0.0
+    for step in range(steps):
+        todo = [i for i in range(len(models)) if done[i] is None]
+        now = [models[i] for i in todo]
 
         def stats(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = None
@@ -103,24 +127,43 @@ def fit_mixtures(points: DataFrame, most: int = 6, steps: int = 12) -> tuple[lis
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["i", "s"])
 
         s = np.array([r[1] for r in points.select("x").mapInArrow(stats, "i bigint, s double").groupBy("i").agg(F.sum("s")).orderBy("i").collect()])
-        models, at, moved = [], 0, 0.0
-        for i, (w, _mu, _cov) in enumerate(now):
-            k = len(w)
+        at = 0
+        for i in todo:
+            k = len(models[i][0])
             n, ll = s[at], s[at + 1]
             r = np.maximum(s[at + 2 : at + 2 + k], 1e-9)
             mu = s[at + 2 + k : at + 2 + k + k * d].reshape(k, d) / r[:, None]
             cov = s[at + 2 + k + k * d : at + 2 + k + k * d + k * d * d].reshape(k, d, d) / r[:, None, None] - np.einsum("ja,jb->jab", mu, mu)
             at += 2 + k + k * d + k * d * d
-            moved = max(moved, abs(ll - lls[i]) / max(1.0, abs(ll)))
+            if abs(ll - lls[i]) / n < tol or step + 1 == steps:
+                done[i] = models[i]
             lls[i] = ll
-            models.append((r / n, mu, cov))
-        if moved < 1e-4:
+            models[i] = (r / n, mu, cov)
+        if all(m is not None for m in done):
             break
-    bic = {len(m[0]): -2 * lls[i] + (len(m[0]) * d + len(m[0]) * d * (d + 1) / 2 + len(m[0]) - 1) * np.log(max(n, 1)) for i, m in enumerate(models)}
+    return done, lls, n
+
+
+def fit_mixtures(points: DataFrame, most: int = 49, steps: int = 100, tol: float = 1e-3, change_at: float = 1e-3, block: int = 8) -> tuple[list, dict[int, float]]:
+    """Mixtures of 1, 2, ... parts and their BIC, up to `most` or one less than there are points, or to the first whose BIC differs
+    from the last by a share under change_at. `block` of them are fitted in the same passes. points: key, x."""
+    first = points.select("x").orderBy(F.xxhash64("x")).limit(SAMPLE).collect()
+    if not first:
+        return [], {}
+    seeds = np.array([r.x for r in first])
+    d, top = seeds.shape[1], max(1, min(most, len(seeds) - 1))
+    models, bic = [], {}
+    for lo in range(1, top + 1, block):
+        fitted, lls, n = _fit(points, [_seeds(seeds, k) for k in range(lo, min(lo + block, top + 1))], steps, tol)
+        for k, (m, ll) in enumerate(zip(fitted, lls, strict=True), lo):
+            models.append(m)
+            bic[k] = -2 * ll + (k * d + k * d * (d + 1) / 2 + k - 1) * np.log(max(n, 1))
+            if k > 1 and abs(bic[k - 1] - bic[k]) < change_at * abs(bic[k - 1]):
+                return models, bic
     return models, bic
 
 
-def soft_clusters(df: DataFrame, key: str, vec: str, most: int = 6, at_least: float = 0.1, dims: int = 2) -> DataFrame:
+def soft_clusters(df: DataFrame, key: str, vec: str, most: int = 49, at_least: float = 0.1, dims: int = 2) -> DataFrame:
     """key, cluster, p: every cluster of probability above at_least, and the most probable one in any case (overlapping). The number
     of parts has the least BIC; equal vectors get equal clusters."""
     points = cut(project(df, key, vec, dims))
@@ -144,12 +187,12 @@ def soft_clusters(df: DataFrame, key: str, vec: str, most: int = 6, at_least: fl
     return points.mapInArrow(run, f"{key} {kind}, cluster int, p double")
 
 
-def layers(df: DataFrame, key: str, vec: str, most_layers: int = 4, most: int = 6, sparsity_at: float = 0.98, change_at: float = 0.05) -> DataFrame:
+def layers(df: DataFrame, key: str, vec: str, most: int = 49, sparsity_at: float = 0.98, change_at: float = 0.05) -> DataFrame:
     """layer, key, cluster, and the next layer's items are the clusters' mean vectors. Stops at a sparsity of sparsity_at, a change
-    of at most change_at, or two items. Keys of higher layers are 'cluster-layer-number'."""
+    of at most change_at, or two items; a layer has fewer items than the last, so it ends. Keys of higher layers are 'cluster-layer-number'."""
     items = cut(df.select(F.col(key).cast("string").alias("item"), F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL"))
     out, before = None, 0.01
-    for layer in range(most_layers):
+    for layer in itertools.count():
         n = items.count()
         if n <= 2:
             break

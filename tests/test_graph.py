@@ -122,3 +122,20 @@ def test_soft_clusters(spark):
     two = spark.createDataFrame([(i, [1.0, 0.01 * i, 0.0] if i % 2 else [0.0, 0.01 * i, 1.0]) for i in range(40)], "id bigint, v array<double>")
     c = {(r.id % 2, r.cluster) for r in hierarchy.soft_clusters(two, "id", "v", 3).filter("p > 0.5").collect()}
     assert {k for k, _ in c} == {0, 1} and len({x for _, x in c}) >= 2
+
+
+def test_more_than_six_clusters(spark):
+    at = [(math.cos(g * math.pi / 5), math.sin(g * math.pi / 5)) for g in range(10)]
+    rows = [(i, [at[i % 10][0] + 0.01 * math.sin(i), at[i % 10][1] + 0.01 * math.cos(3 * i), 1.0]) for i in range(400)]
+    c = hierarchy.soft_clusters(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v").filter("p > 0.5").collect()
+    assert len({r.cluster for r in c}) == len({(r.id % 10, r.cluster) for r in c}) == 10
+
+
+def test_layers_end_by_their_rules(spark, monkeypatch):
+    def pairs(df, key, vec, most):
+        return df.selectExpr(key, f"CAST(greatest(row_number() OVER (ORDER BY {key}) - 2, 0) AS int) AS cluster", "1.0D AS p")
+
+    monkeypatch.setattr(hierarchy, "soft_clusters", pairs)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "id bigint, v array<double>")
+    got = hierarchy.layers(df, "id", "v", sparsity_at=2.0, change_at=-1.0).groupBy("layer").count().collect()
+    assert {r.layer: r["count"] for r in got} == {i: 8 - i for i in range(6)}
