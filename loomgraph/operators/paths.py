@@ -7,6 +7,7 @@ neighbourhoods don't fit in a task."""
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import random
 from collections import deque
@@ -294,12 +295,12 @@ def bridge_paths(edges: DataFrame, keys: DataFrame, options: PathOptions = PathO
     return key.groupBy("query_id").cogroup(graph.groupBy("of_query")).applyInPandas(run, RESULT)
 
 
-def relaxed_costs(edges: DataFrame, origins: DataFrame, rounds: int, bottleneck: bool = False) -> DataFrame:
-    """origin, node, cost over paths of at most `rounds` edges, by joins: each round relaxes the labels that fell in the last.
-    edges: src, tgt, cost; with bottleneck the cost of a path is its dearest edge."""
+def relaxed_costs(edges: DataFrame, origins: DataFrame, rounds: int | None = None, bottleneck: bool = False) -> DataFrame:
+    """origin, node, cost by joins: each round relaxes the labels that fell in the last, until none falls, or over paths of at most
+    `rounds` edges. edges: src, tgt, cost of at least 0; with bottleneck the cost of a path is its dearest edge."""
     sym = cut(both_ways(edges.select("src", "tgt", "cost")))
     lab = cut(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")).distinct().withColumn("new", F.lit(True)))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         step = lab.filter("new").select("origin", F.col("node").alias("u"), F.col("cost").alias("c")).join(sym, "u")
         total = F.greatest("c", "cost") if bottleneck else F.col("c") + F.col("cost")
         step = step.groupBy("origin", F.col("v").alias("node")).agg(F.min(total).alias("n"))

@@ -139,3 +139,16 @@ def test_layers_end_by_their_rules(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "id bigint, v array<double>")
     got = hierarchy.layers(df, "id", "v", sparsity_at=2.0, change_at=-1.0).groupBy("layer").count().collect()
     assert {r.layer: r["count"] for r in got} == {i: 8 - i for i in range(6)}
+
+
+def test_relaxation_to_the_end(spark):
+    at = [(f"n{i:02}", f"n{j:02}", ((i * 7 + j * 3) % 10 + 1) / (100 if j == i + 1 else 10)) for i, j in itertools.combinations(range(14), 2) if j == i + 1 or (i + j) % 5 == 0]
+    n = Net([(u, v, c, 0) for u, v, c in at])
+    e = spark.createDataFrame([*at, ("x", "y", 1.0)], "src string, tgt string, cost double")
+    o = spark.createDataFrame([("n00",), ("n13",)], "node string")
+    for bottleneck, search, fold in ((False, n.cheapest, sum), (True, n.bottleneck, max)):
+        got = {(r.origin, r.node): r.cost for r in relaxed_costs(e, o, bottleneck=bottleneck).collect()}
+        ways = {(s, t): search(s, t) for s in ("n00", "n13") for t in n.near if s != t}
+        assert max(map(len, ways.values())) > 5
+        want = {k: fold(n.cost(a, b) for a, b in itertools.pairwise(p)) for k, p in ways.items()}
+        assert got == pytest.approx(want | {("n00", "n00"): 0.0, ("n13", "n13"): 0.0})
