@@ -14,6 +14,12 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Reranker(Protocol):
+    """Queries and texts, pair by pair, to scores; default operators.vectors.word_maxsim."""
+
+    def __call__(self, queries: list[str], texts: list[str]) -> list[float | None]: ...
+
+
 class Model(Protocol):
     """Prompts to answers; see operators.batchio.cached_calls."""
 

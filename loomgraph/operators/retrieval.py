@@ -99,13 +99,15 @@ def _hits(v: DataFrame, q: DataFrame, k: int, threshold: float) -> DataFrame:
     return vectors.topk(n, q, k, threshold, "vid", "vec").join(n.select("vid", "id"), "vid").drop("vid")
 
 
-def entity_hits(ix: Index, queries: DataFrame, o: QueryOptions) -> DataFrame:
-    """query_id, node, dense_order, score: top_k x multiplier entities, reranked by late interaction where asked for."""
+def entity_hits(ix: Index, queries: DataFrame, o: QueryOptions, reranker=None) -> DataFrame:
+    """query_id, node, dense_order, score: top_k x multiplier entities, reranked where asked for by the query's text (column query)
+    and the entity's; the default reranker is vectors.word_maxsim."""
     h = _hits(ix.node_vectors, queries, o.top_k * o.multiplier, o.threshold).join(ix.nodes.select(F.col("entity_name").alias("id")), "id", "left_semi")
     if o.rerank:
-        # each text's vectors are those of its words' embedding, here one vector a text
-        p = h.join(queries.select("query_id", F.array("qvec").alias("qt")), "query_id").join(ix.node_vectors.select("id", F.array("vec").alias("dt")), "id")
-        s = vectors.maxsim(p.select("query_id", "id", "qt", "dt"), "qt", "dt").select("query_id", "id", "rerank_score")
+        if "query" not in queries.columns:
+            raise ValueError("reranking needs the queries' texts: column query")
+        p = h.join(queries.select("query_id", "query"), "query_id").join(ix.nodes.select(F.col("entity_name").alias("id"), F.concat_ws(" ", "entity_name", "description").alias("text")), "id")
+        s = vectors.rerank_scores(p.select("query_id", "id", "query", "text"), "query", "text", reranker).select("query_id", "id", "rerank_score")
         h = vectors.rerank(h, s, o.top_k * o.multiplier, o.rerank_top_n, "id").select("query_id", "id", F.col("final_order").alias("dense_order"), "score")
     return h.withColumnRenamed("id", "node")
 
@@ -155,11 +157,12 @@ def bridge(ix: Index, queries: DataFrame, keys: DataFrame, o: QueryOptions) -> t
     return p, chunking.token_budget(e, ["query_id"], [F.desc("edge_degree"), F.desc("weight"), "src", "tgt"], "tokens", o.bridge_budget)
 
 
-def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions = QueryOptions()) -> DataFrame:
-    """query_id (string), section, rank, item, tokens: the context of each query in a mode. queries: query_id, qvec."""
+def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions = QueryOptions(), reranker=None) -> DataFrame:
+    """query_id (string), section, rank, item, tokens: the context of each query in a mode. queries: query_id, qvec, and query (its
+    text) for the modes that rerank."""
     sections, strategy, rr = MODES[mode]
     o = replace(o, mode=mode, rerank=rr, paths=replace(o.paths, strategy=strategy))
-    q = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec")))
+    q = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"), *(["query"] if rr and "query" in queries.columns else [])))
     out: list[DataFrame] = []
 
     def put(df: DataFrame, name: str, item, order: list) -> None:
@@ -170,7 +173,7 @@ def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions =
         h = _hits(ix.chunk_vectors, q, o.top_k, o.threshold).withColumnRenamed("id", "chunk_id").join(ix.chunks, "chunk_id")
         put(chunking.token_budget(h, ["query_id"], ["dense_order"], "tokens", o.naive_budget), "chunks", F.col("chunk_id"), ["dense_order"])
     else:
-        wide = cut(entity_hits(ix, q, o))
+        wide = cut(entity_hits(ix, q, o, reranker))
         hits = wide.filter(F.col("dense_order") < o.top_k)
         if "communities" in sections:
             put(communities(ix, hits, o), "communities", F.concat_ws("/", F.col("level").cast("string"), "community"), ["running_cost", "level", "community"])

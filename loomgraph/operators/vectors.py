@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,23 +88,55 @@ def rerank(hits: DataFrame, scores: DataFrame | None, top_k: int, top_n: int, ke
     return x.withColumn("final_order", F.row_number().over(w) - 1).filter(F.col("final_order") < top_k)
 
 
+def hashed(texts: list[str], dims: int = 64) -> np.ndarray:
+    """The default embedder."""
+    out = np.zeros((len(texts), dims), np.float32)
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", t.lower())
+        for g in (*w, *(a + " " + b for a, b in zip(w, w[1:], strict=False))):
+            h = zlib.crc32(g.encode())
+            out[i, h % dims] += 1 if h >> 16 & 1 else -1
+    return unit(out)
+
+
+def word_maxsim(embedder: Callable[[list[str]], np.ndarray] | None = None) -> Callable[[list[str], list[str]], list[float | None]]:
+    """The default reranker: the words of query and text are embedded one by one, and each word of the query takes its best cosine
+    with a word of the text. Null where either has no word."""
+    call = embedder or functools.partial(hashed, dims=1024)
+
+    def run(queries: list[str], texts: list[str]) -> list[float | None]:
+        words = {t: re.findall(r"\w+", t.lower()) for t in {*queries, *texts}}
+        every = sorted({w for x in words.values() for w in x})
+        vec = unit(np.asarray(call(every), np.float64)) if every else None
+        at = {w: i for i, w in enumerate(every)}
+        rows = {t: vec[[at[w] for w in x]] for t, x in words.items() if x}
+        return [float((rows[q] @ rows[t].T).max(axis=1).sum()) if q in rows and t in rows else None for q, t in zip(queries, texts, strict=True)]
+
+    return run
+
+
+def rerank_scores(pairs: DataFrame, query: str, text: str, reranker: Callable[[list[str], list[str]], list[float | None]] | None = None, batch: int = 1024) -> DataFrame:
+    """pairs and rerank_score, by an injected function over pairs of texts; the default is word_maxsim. Null texts score null."""
+    call = reranker or word_maxsim()
+
+    @F.pandas_udf("double")
+    def run(q: pd.Series, t: pd.Series) -> pd.Series:
+        vals: list = [None] * len(q)
+        known = [i for i in range(len(q)) if q.iloc[i] is not None and t.iloc[i] is not None]
+        for lo in range(0, len(known), batch):
+            part = known[lo : lo + batch]
+            for i, v in zip(part, call([q.iloc[i] for i in part], [t.iloc[i] for i in part]), strict=True):
+                vals[i] = v
+        return pd.Series(vals, dtype=float)
+
+    return pairs.withColumn("rerank_score", F.nanvl(run(F.col(query), F.col(text)), F.lit(None).cast("double")))
+
+
 def embed(df: DataFrame, key: str, text: str, dims: int = 64, embedder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 64) -> DataFrame:
     """key, vec: embeds texts in batches with an injected function; the default is a deterministic signed hashing of words and
     word pairs. Null texts give a null vector."""
 
-    def hashed(texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-
-        out = np.zeros((len(texts), dims), np.float32)
-        for i, t in enumerate(texts):
-            w = re.findall(r"\w+", t.lower())
-            for g in (*w, *(a + " " + b for a, b in zip(w, w[1:], strict=False))):
-                h = zlib.crc32(g.encode())
-                out[i, h % dims] += 1 if h >> 16 & 1 else -1
-        return unit(out)
-
-    call = embedder or hashed
+    call = embedder or functools.partial(hashed, dims=dims)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

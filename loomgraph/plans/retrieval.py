@@ -87,7 +87,7 @@ def index_of(s, d) -> retrieval.Index:
 def query_vectors(s, d):
     """The queries: every answer whose id is divisible by 100, against the whole index."""
     q = table(s, d, "answers").filter("answer_id % 100 = 0 AND query IS NOT NULL").select(F.col("answer_id").cast("string").alias("query_id"), "query")
-    return cut(vectors.embed(q, "query_id", "query").select("query_id", F.col("vec").alias("qvec")))
+    return cut(vectors.embed(q, "query_id", "query").select("query_id", F.col("vec").alias("qvec")).join(q, "query_id"))
 
 
 def _mode(mode: str):

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from loomgraph.operators import community, evaluate, graph, hierarchy, vectors
+from loomgraph.operators import community, evaluate, graph, hierarchy, retrieval, vectors
 from loomgraph.operators.paths import Net, PathOptions, bridge_paths, relaxed_costs, segment, through
 
 SQUARE = [("A", "B"), ("B", "D"), ("A", "C"), ("C", "E"), ("E", "D")]
@@ -152,3 +152,18 @@ def test_relaxation_to_the_end(spark):
         assert max(map(len, ways.values())) > 5
         want = {k: fold(n.cost(a, b) for a, b in itertools.pairwise(p)) for k, p in ways.items()}
         assert got == pytest.approx(want | {("n00", "n00"): 0.0, ("n13", "n13"): 0.0})
+
+
+def test_reranking_changes_the_order(spark):
+    docs = spark.createDataFrame([(1, "Green Compost feeds Clay Soil. Worms like Rain."), (2, "Clay Soil holds Rain. Old Barns stand in Fog.")], "doc_id bigint, text string")
+    ix = retrieval.build_index(docs)
+    q = spark.createDataFrame([("q", "what does rain do to clay soil")], "query_id string, query string")
+    q = vectors.embed(q, "query_id", "query").withColumnRenamed("vec", "qvec").join(q, "query_id")
+    o = retrieval.QueryOptions(threshold=-1.0)
+    order = lambda o, r=None: [x.node for x in retrieval.entity_hits(ix, q, o, r).orderBy("dense_order").collect()]
+    plain, again = order(o), order(retrieval.QueryOptions(threshold=-1.0, rerank=True))
+    assert sorted(plain) == sorted(again) and plain != again and again[0] == "CLAY SOIL"
+    longest = order(retrieval.QueryOptions(threshold=-1.0, rerank=True), lambda queries, texts: [float(len(t)) for t in texts])
+    assert [len(x) for x in longest] == sorted(map(len, longest), reverse=True)
+    with pytest.raises(ValueError):
+        retrieval.entity_hits(ix, q.drop("query"), retrieval.QueryOptions(rerank=True))
