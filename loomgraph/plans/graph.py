@@ -144,12 +144,17 @@ R.add("edge_cost", f"""WITH e AS (SELECT src, tgt, weight FROM {PS}), g AS (SELE
 )
 
 
-def edge_cost_query(s, d):
+# The one above takes the three queries of its SQL; this one takes them all.
+R.add("edge_cost_whole")(lambda s, d: edge_cost_query(s, d, _queries(s, d)))
+
+
+def edge_cost_query(s, d, q=None):
     e = part_supplier(s, d)
     v = table(s, d, "embeddings")
     n = v.agg(F.count("*").alias("c"))
     vec = e.select("src", "tgt").join(F.broadcast(n)).withColumn("vec_id", F.substring("src", 2, 20).cast("bigint") % F.col("c")).join(v, "vec_id").select("src", "tgt", F.col("embedding").alias("vec"))
-    q = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    if q is None:
+        q = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return graph.edge_costs(e, vec, q).withColumn("cost", F.round("cost", 6))
 
 

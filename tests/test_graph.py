@@ -5,6 +5,7 @@ import pytest
 
 from loomgraph.operators import community, evaluate, graph, hierarchy, retrieval, vectors
 from loomgraph.operators.paths import Net, PathOptions, bridge_paths, relaxed_costs, segment, through
+from loomgraph.plans import catalog
 
 SQUARE = [("A", "B"), ("B", "D"), ("A", "C"), ("C", "E"), ("E", "D")]
 
@@ -167,3 +168,21 @@ def test_reranking_changes_the_order(spark):
     assert [len(x) for x in longest] == sorted(map(len, longest), reverse=True)
     with pytest.raises(ValueError):
         retrieval.entity_hits(ix, q.drop("query"), retrieval.QueryOptions(rerank=True))
+
+
+def test_edge_costs_of_all_queries(spark, tmp_path):
+    vec = {i: [math.sin(i + j) for j in range(4)] for i in range(301)}
+    items = [(i % 40, i * i % 7, float(i % 5 + 1)) for i in range(120)]
+    spark.createDataFrame(list(vec.items()), "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(items, "l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    weight, degree = {}, {}
+    for p, s, x in items:
+        weight[p, s] = weight.get((p, s), 0.0) + x
+    for p, s in weight:
+        for v in (f"p{p}", f"s{s}"):
+            degree[v] = degree.get(v, 0) + 1
+    ends = {(p, s): degree[f"p{p}"] + degree[f"s{s}"] for p, s in weight}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    want = {(q, f"p{p}", f"s{s}"): 1 - cos(vec[p], vec[q]) + 0.15 * ends[p, s] / max(ends.values()) + 0.05 / (1 + w) for q in (0, 100, 200, 300) for (p, s), w in weight.items()}
+    got = {(r.query_id, r.src, r.tgt): r.cost for r in catalog.QUERIES["edge_cost_whole"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
