@@ -6,6 +6,8 @@ aggregations over edges, so a component of any size, a giant one too, is spread
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,13 +68,14 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return deg.join(inside, "c", "left").join(F.broadcast(m)).agg(F.sum(F.coalesce("i", F.lit(0.0)) / F.col("m") - (F.col("d") / (2 * F.col("m"))) ** 2).alias("modularity"), F.count("*").alias("communities"))
 
 
-def hierarchical_communities(edges: DataFrame, max_size: int = 10, depth: int = 3) -> DataFrame:
+def hierarchical_communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
     """level, community, node: level 0 covers all nodes; a community larger than max_size is split on the next level, using its
-    inner edges only. All oversized communities of a level are split in one run, each in its own scope."""
+    inner edges only, until none is larger or can be split: what a split leaves whole isn't repeated on the next level. All
+    oversized communities of a level are split in one run, each in its own scope."""
     e = cut(edges.select("src", "tgt", "weight"))
     now = cut(modularity_communities(e).select(F.lit(0).alias("level"), F.concat(F.lit("0-"), "community").alias("community"), "node"))
     out = now
-    for k in range(1, depth):
+    for k in itertools.count(1):
         big = now.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > max_size).select("community")
         m = cut(now.join(big, "community", "left_semi").select("node", "community"))
         if m.isEmpty():
@@ -80,7 +83,9 @@ def hierarchical_communities(edges: DataFrame, max_size: int = 10, depth: int =
         a = m.select(F.col("node").alias("src"), F.col("community").alias("s"))
         inner = e.join(a, "src").join(m.select(F.col("node").alias("tgt"), F.col("community").alias("s")), ["tgt", "s"])
         part = modularity_communities(inner, "s").withColumnRenamed("community", "sub")
-        now = cut(m.join(part, "node", "left").select(F.lit(k).alias("level"), F.concat(F.lit(f"{k}-"), F.coalesce("sub", "node")).alias("community"), "node"))
+        x = cut(m.join(part, "node", "left").select("node", F.col("community").alias("whole"), F.concat(F.lit(f"{k}-"), F.coalesce("sub", "node")).alias("community")))
+        parted = x.groupBy("whole").agg(F.min("community").alias("a"), F.max("community").alias("b")).filter("a <> b").select("whole")
+        now = cut(x.join(parted, "whole", "left_semi").select(F.lit(k).alias("level"), "community", "node"))
         out = out.unionByName(now)
     return out
 

@@ -73,7 +73,7 @@ class Index:
     edge_vectors: DataFrame
 
 
-def build_index(documents: DataFrame, text: str = "text", size: int = 120, overlap: int = 20, most_levels: int = 2, embedder=None) -> Index:
+def build_index(documents: DataFrame, text: str = "text", size: int = 120, overlap: int = 20, embedder=None) -> Index:
     """Documents to all tables of an index, with the offline extractor, reporter and embedder unless others are given."""
     docs = chunking.dedupe_documents(documents, text)
     ch = cut(chunking.chunks(docs, size=size, overlap=overlap).select("chunk_id", F.col("chunk_order_index").alias("ord"), "tokens", "content"))
@@ -82,7 +82,7 @@ def build_index(documents: DataFrame, text: str = "text", size: int = 120, overl
     nodes = cut(nodes.withColumn("tokens", fr.n_tokens(F.concat_ws(" ", "entity_name", "entity_type", "description"))))
     edges = extract.cooccurrence(men.select("chunk_id", F.col("node").alias("name")), "chunk_id").withColumn("description", F.lit("Co-occurs in the same text chunk."))
     edges = cut(edges.withColumn("tokens", fr.n_tokens(F.concat_ws(" ", "src", "tgt", "description"))))
-    mem = cut(community.hierarchical_communities(edges, depth=most_levels))
+    mem = cut(community.hierarchical_communities(edges))
     rep = community.extractive_reports(mem, nodes, edges)
     rep = rep.select("level", "community", fr.report_markdown(F.col("title"), F.col("summary"), F.col("findings")).alias("text"), "rating")
     rep = cut(rep.withColumn("tokens", fr.n_tokens(F.col("text"))))

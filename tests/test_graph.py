@@ -186,3 +186,15 @@ def test_edge_costs_of_all_queries(spark, tmp_path):
     want = {(q, f"p{p}", f"s{s}"): 1 - cos(vec[p], vec[q]) + 0.15 * ends[p, s] / max(ends.values()) + 0.05 / (1 + w) for q in (0, 100, 200, 300) for (p, s), w in weight.items()}
     got = {(r.query_id, r.src, r.tgt): r.cost for r in catalog.QUERIES["edge_cost_whole"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_splits_go_on(spark, monkeypatch):
+    def halves(e, scope=None):
+        n = e.selectExpr(f"{scope or 'left(src, 1)'} AS s", "explode(array(src, tgt)) AS node").distinct()
+        half = "IF(node LIKE 'z%', 1, ntile(2) OVER (PARTITION BY s ORDER BY node))" if scope else "1"
+        return n.selectExpr("*", f"{half} AS h").selectExpr("node", "min(node) OVER (PARTITION BY s, h) AS community")
+
+    monkeypatch.setattr(community, "modularity_communities", halves)
+    e = [(f"{g}{i:02}", f"{g}{j:02}", 1.0) for g in "az" for i, j in itertools.combinations(range(16), 2)]
+    c = community.hierarchical_communities(spark.createDataFrame(e, "src string, tgt string, weight double"), 2).groupBy("level", "community").count().collect()
+    assert sorted((r.level, r["count"]) for r in c) == [(0, 16)] * 2 + [(1, 8)] * 2 + [(2, 4)] * 4 + [(3, 2)] * 8
