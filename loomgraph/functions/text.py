@@ -13,6 +13,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
 
 
+def strip_spaces(c: Column) -> Column:
+    """Outer white space only: zero-width marks stay."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
+
+
 def words(c: Column) -> Column:
     """Maximal runs of Unicode letters or digits of the lower-cased text; null text gives an empty array."""
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
