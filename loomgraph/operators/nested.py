@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut
+from loomgraph.session import written
 
 ADJACENCY = "record bigint, node int, parent int, label string, ordinal int, kind string, scalar string"
 _ARROW = pa.schema([("record", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
@@ -40,7 +40,7 @@ def _decode(value):
     return None
 
 
-def _walk(text: str | None, arrays: frozenset, objects: frozenset, scalars: bool):
+def _walk(text: str | None, arrays: frozenset, objects: frozenset):
     root = _decode(text)
     if isinstance(root, list) and len(root) == 1:
         root = root[0]
@@ -60,7 +60,7 @@ def _walk(text: str | None, arrays: frozenset, objects: frozenset, scalars: bool
         elif isinstance(value, list):
             yield n, parent, label, ordinal, "array", None
             todo.extend((v, n, None, i) for i, v in reversed(list(enumerate(value))))
-        elif scalars:
+        else:
             if isinstance(value, float) and not math.isfinite(value):
                 value = None
             if isinstance(value, bool):
@@ -69,16 +69,16 @@ def _walk(text: str | None, arrays: frozenset, objects: frozenset, scalars: bool
         n += 1
 
 
-def shred(df: DataFrame, record: str, text: str, arrays=ARRAYS, objects=OBJECTS, scalars: bool = True) -> DataFrame:
+def shred(df: DataFrame, record: str, text: str, arrays=ARRAYS, objects=OBJECTS) -> DataFrame:
     """The adjacency table of the JSON column `text`. Node 0 is the record's root; an array element has an ordinal, a
-    member has a label. scalars=False leaves leaf nodes out where only structure is asked for."""
+    member has a label."""
     a, o = frozenset(arrays), frozenset(objects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
             for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows.extend((key, *x) for x in _walk(value, a, o, scalars))
+                rows.extend((key, *x) for x in _walk(value, a, o))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
                     rows = []
@@ -101,25 +101,16 @@ def elements_of(adj: DataFrame, arrays: DataFrame) -> DataFrame:
     return el.join(arrays, ["record", "arr"]).drop("arr")
 
 
-def children(adj: DataFrame) -> dict[str, DataFrame]:
-    """The object nodes of the four child tables, each as (record, node, parent_pos, pos)."""
-    out = {}
-    for kind, label, under in (("decision", "bridge_path_decisions", "retrieval"), ("community", "communities", "retrieval"), ("attempt", "context_budget_attempts", "budgets")):
-        out[kind] = elements_of(adj, array_of(adj, label, under)).withColumn("parent_pos", F.lit(-1))
-    edges = adj.filter((F.col("kind") == "array") & (F.col("label") == "edges")).select("record", F.col("node").alias("arr"), "parent")
-    dec = out["decision"].select("record", F.col("node").alias("parent"), F.col("pos").alias("parent_pos"))
-    out["edge"] = elements_of(adj, edges.join(dec, ["record", "parent"]).drop("parent"))
-    return {k: v.select("record", "node", "parent_pos", "pos") for k, v in out.items()}
-
-
-def found(df: DataFrame, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
-    """One row per child object: answer_id, child_kind, parent_pos, child_pos."""
-    adj = cut(shred(df, record, text, scalars=False))
+def _kinds(adj: DataFrame) -> DataFrame:
+    """(record, node, child_kind, parent_pos, pos) of the object nodes that are rows of the child tables."""
     out = None
-    for kind, x in children(adj).items():
-        x = x.select(F.col("record").alias("answer_id"), F.lit(kind).alias("child_kind"), F.col("parent_pos").cast("int"), F.col("pos").cast("int").alias("child_pos"))
+    for kind, label, under in (("decision", "bridge_path_decisions", "retrieval"), ("community", "communities", "retrieval"), ("attempt", "context_budget_attempts", "budgets")):
+        x = elements_of(adj, array_of(adj, label, under)).select("record", "node", F.lit(kind).alias("child_kind"), F.lit(-1).alias("parent_pos"), "pos")
+        dec = x if kind == "decision" else dec  # noqa: F821
         out = x if out is None else out.unionByName(x)
-    return out
+    edges = adj.filter((F.col("kind") == "array") & (F.col("label") == "edges")).select("record", F.col("node").alias("arr"), "parent")
+    own = edges.join(dec.select("record", F.col("node").alias("parent"), F.col("pos").alias("parent_pos")), ["record", "parent"]).drop("parent")
+    return out.unionByName(elements_of(adj, own).select("record", "node", F.lit("edge").alias("child_kind"), "parent_pos", "pos"))
 
 
 def pivoted(adj: DataFrame, objects: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -139,35 +130,89 @@ ENTITIES = {
     "attempt": {"attempt": "int", "scale": "double", "input_tokens": "bigint"},
 }
 ROOT = {"bridge_strategy": "string", "local_rerank_strategy": "string", "bridge_path_edges": "int", "community_count": "int", "mean_edge_score": "double", "bridge_budget_stopped": "boolean", "bridge_budget_fallbacks": "int"}
+#: Arrays of scalars inside an entity: the child table's item column and the label of the array.
+LISTS = {"edge": ("chunk_id", "chunk_ids"), "community": ("member", "nodes")}
+
+
+def adjacency(df: DataFrame, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
+    """The adjacency table of all records, written once to the shared folder."""
+    return written(shred(df, record, text), "adjacency")
+
+
+def entities(adj: DataFrame) -> DataFrame:
+    """(record, node, child_kind, parent_pos, pos, and the scalar members of every kind): all entity tables in one, from one join of
+    object nodes with their scalar children and one pivot."""
+    return pivoted(adj, _kinds(adj), {k: t for fields in ENTITIES.values() for k, t in fields.items()})
+
+
+def _link(*names: str) -> list:
+    return [F.col("record").alias("answer_id"), *[F.col(a).cast("int").alias(b) for a, b in (n.split(":") for n in names)]]
+
+
+def found(df: DataFrame, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
+    """One row per child object, read off the entity tables: answer_id, child_kind, parent_pos, child_pos."""
+    return entities(adjacency(df, record, text)).select(F.col("record").alias("answer_id"), "child_kind", F.col("parent_pos").cast("int"), F.col("pos").cast("int").alias("child_pos"))
 
 
 def entity_table(df: DataFrame, kind: str, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
     """The flat table of one child kind with its parent link, position and typed fields."""
-    adj = cut(shred(df, record, text))
-    out = pivoted(adj, children(adj)[kind], ENTITIES[kind])
-    return out.select(F.col("record").alias("answer_id"), F.col("parent_pos").cast("int"), F.col("pos").cast("int").alias("child_pos"), *ENTITIES[kind])
+    adj = adjacency(df, record, text)
+    out = pivoted(adj, _kinds(adj).filter(F.col("child_kind") == kind), ENTITIES[kind])
+    return out.select(*_link("parent_pos:parent_pos", "pos:child_pos"), *ENTITIES[kind])
+
+
+def list_table(df: DataFrame, kind: str, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
+    """The items of an entity's array of scalars: answer_id, parent_pos, child_pos (the entity's), item_pos and the item; null items
+    keep their position but are no row."""
+    item, label = LISTS[kind]
+    adj = adjacency(df, record, text)
+    arr = adj.filter((F.col("kind") == "array") & (F.col("label") == label)).select("record", F.col("node").alias("arr"), F.col("parent").alias("node"))
+    of = arr.join(_kinds(adj).filter(F.col("child_kind") == kind), ["record", "node"]).select("record", "arr", "parent_pos", "pos")
+    leaf = adj.filter((F.col("kind") == "scalar") & F.col("ordinal").isNotNull()).select("record", F.col("parent").alias("arr"), "ordinal", "scalar")
+    return leaf.join(of, ["record", "arr"]).select(*_link("parent_pos:parent_pos", "pos:child_pos", "ordinal:item_pos"), F.col("scalar").alias(item))
+
+
+def _inner(adj: DataFrame, objects: DataFrame, label: str) -> DataFrame:
+    """The object `label` of each of the given objects: record, node and the given other columns."""
+    x = adj.filter((F.col("kind") == "object") & (F.col("label") == label)).select("record", F.col("node").alias("__inner"), F.col("parent").alias("node"))
+    return x.join(objects, ["record", "node"]).drop("node").withColumnRenamed("__inner", "node")
+
+
+def search_table(df: DataFrame, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
+    """The search details (`mcts`) of path decisions: answer_id, decision_pos, iterations, radius_expanded, candidate_hops,
+    candidate_nodes."""
+    adj = adjacency(df, record, text)
+    dec = _kinds(adj).filter(F.col("child_kind") == "decision").select("record", "node", "pos")
+    top = written(pivoted(adj, _inner(adj, dec, "mcts"), {"iterations": "int", "radius_expanded": "boolean"}), "searches")
+    cand = pivoted(adj, _inner(adj, top.select("record", "node", "pos"), "candidate"), {"hops": "int", "nodes": "int"}).select("record", "pos", F.col("hops").alias("candidate_hops"), F.col("nodes").alias("candidate_nodes"))
+    return top.join(cand, ["record", "pos"], "left").select(*_link("pos:decision_pos"), "iterations", "radius_expanded", "candidate_hops", "candidate_nodes")
+
+
+def section_table(df: DataFrame, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
+    """The section budgets of the attempts: answer_id, attempt_pos, section, tokens (null where it is no number)."""
+    adj = adjacency(df, record, text)
+    att = _kinds(adj).filter(F.col("child_kind") == "attempt").select("record", "node", "pos")
+    leaf = adj.filter(F.col("kind").isin("scalar", "null") & F.col("label").isNotNull()).select("record", F.col("parent").alias("node"), "label", "scalar")
+    return leaf.join(_inner(adj, att, "section_budgets"), ["record", "node"]).select(*_link("pos:attempt_pos"), F.col("label").alias("section"), F.col("scalar").try_cast("bigint").alias("tokens"))
 
 
 def answer_table(df: DataFrame, record: str = "answer_id", text: str = "context_debug") -> DataFrame:
     """One row per record that has an object, with root scalars (the root's before those under `retrieval`) and the
     number of children of each kind."""
-    adj = cut(shred(df, record, text))
+    adj = adjacency(df, record, text)
     tops = adj.filter((F.col("kind") == "object") & ((F.col("node") == 0) | ((F.col("label") == "retrieval") & (F.col("parent") == 0)))).select("record", "node")
     flat = pivoted(adj, tops, ROOT)
     root = flat.groupBy("record").agg(*[F.min_by(k, F.when(F.col(k).isNotNull(), F.col("node"))).alias(k) for k in ROOT])
-    counts = None
-    for kind, x in children(adj).items():
-        x = x.select("record", F.lit(kind).alias("kind"))
-        counts = x if counts is None else counts.unionByName(x)
-    counts = counts.groupBy("record").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ENTITIES])
+    counts = _kinds(adj).groupBy("record").agg(*[F.count_if(F.col("child_kind") == k).alias(f"n_{k}") for k in ENTITIES])
     return root.join(counts, "record", "left").fillna(0, [f"n_{k}" for k in ENTITIES]).withColumnRenamed("record", "answer_id")
 
 
 def attempts_against_metrics(answers: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The attempts counted in each answer's record beside the budget_attempt_count of its trace message.
+    """The attempts counted in each answer's record beside the budget_attempt_count of its trace message, for all answers.
 
     A trace message may have been delivered several times with lost or changed values; its earliest delivery that states a
-    count is taken (received_at, null last, then delivery_id). Answers without a trace have a null metric_attempts."""
+    count is taken (received_at, null last, then delivery_id). Answers without a trace have a null metric_attempts, those whose
+    record is null or broken a null record_attempts."""
     mine = answer_table(answers).select("answer_id", F.col("n_attempt").alias("record_attempts"))
     keys = answers.select("answer_id", "run_id", "query_id", "variant")
     trace = (
@@ -176,6 +221,6 @@ def attempts_against_metrics(answers: DataFrame, metrics: DataFrame) -> DataFram
         .agg(F.min_by("budget_attempt_count", F.struct(F.col("received_at").isNull(), "received_at", "delivery_id")).alias("metric_attempts"))
     )
     return (
-        keys.join(mine, "answer_id").join(trace, ["run_id", "query_id", "variant"], "left")
+        keys.join(mine, "answer_id", "left").join(trace, ["run_id", "query_id", "variant"], "left")
         .select("answer_id", "record_attempts", "metric_attempts", (F.col("record_attempts") == F.col("metric_attempts")).alias("agrees"))
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,14 +29,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one made here (single-machine runs)."""
+    """The folder all executors share: spark.checkpoint.dir of the session; only a local session gets one made here."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    own = "file://" + os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "shared")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    mine = tempfile.mkdtemp(prefix="loomgraph-")
+    atexit.register(shutil.rmtree, mine, True)
+    own = "file://" + os.path.join(mine, "shared")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -51,6 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a compressed columnar table to the shared folder and read back: cuts the lineage as `cut` does, but later reads
+    take only the columns and rows they need."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -40,8 +40,23 @@ def test_empty(spark):
 
 
 def test_attempts_against_metrics(spark):
-    a = spark.createDataFrame([(1, "r", 5, "hi", json.dumps(FULL)), (2, "r", 6, None, json.dumps(FULL))], "answer_id bigint, run_id string, query_id int, variant string, context_debug string")
-    m = spark.createDataFrame([(10, "r", 5, "hi", 2, None), (11, "r", 5, "hi", 1, "2026-01-01 00:00:00")], "delivery_id bigint, run_id string, query_id int, variant string, budget_attempt_count int, received_at string")
+    a = spark.createDataFrame([(1, "r", 5, "hi", json.dumps(FULL)), (2, "r", 6, None, json.dumps(FULL)), (3, "r", 7, "hi", "{broken")], "answer_id bigint, run_id string, query_id int, variant string, context_debug string")
+    m = spark.createDataFrame([(10, "r", 5, "hi", 2, None), (11, "r", 5, "hi", 1, "2026-01-01 00:00:00"), (12, "r", 7, "hi", 3, None)], "delivery_id bigint, run_id string, query_id int, variant string, budget_attempt_count int, received_at string")
     m = m.withColumn("received_at", m.received_at.cast("timestamp"))
     got = {r.answer_id: (r.record_attempts, r.metric_attempts, r.agrees) for r in nested.attempts_against_metrics(a, m).collect()}
-    assert got == {1: (1, 1, True), 2: (1, None, None)}
+    assert got == {1: (1, 1, True), 2: (1, None, None), 3: (None, 3, None)}
+
+
+def test_inner_tables(spark):
+    deep = {
+        "bridge_path_decisions": [{"edges": [{"chunk_ids": ["c1", None, "c2"]}], "mcts": {"iterations": 7, "radius_expanded": True, "candidate": {"hops": 2, "nodes": "9"}}}, {"mcts": "{}"}, {"mcts": None}],
+        "communities": {"nodes": json.dumps(["x", "y"])},
+        "budgets": {"context_budget_attempts": [{"section_budgets": {"text": None, "local": 5}}, {"section_budgets": None}]},
+    }
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, None)], "answer_id bigint, context_debug string")
+    rows = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    assert rows(nested.list_table(df, "edge")) == [(1, 0, 0, 0, "c1"), (1, 0, 0, 2, "c2")]
+    assert rows(nested.list_table(df, "community")) == [(1, -1, 0, 0, "x"), (1, -1, 0, 1, "y")]
+    assert rows(nested.search_table(df)) == [(1, 0, 7, True, 2, 9), (1, 1, None, None, None, None)]
+    assert rows(nested.section_table(df)) == [(1, 0, "local", 5), (1, 0, "text", None)]
+    assert all(x.count() == 0 for x in (nested.search_table(df.limit(0)), nested.section_table(df.limit(0)), nested.list_table(df.limit(0), "edge")))
