@@ -24,6 +24,7 @@ R.add("p8_ids")(lambda s, d: tokenizing.encode(table(s, d, "documents")))
 R.add("p9_shares")(lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1])
 R.add("p9_documents")(lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0])
 R.add("p10_found")(lambda s, d: repetition.found(table(s, d, "documents")))
+R.add("p10_by_content")(lambda s, d: repetition.by_content(table(s, d, "documents")))
 R.add("p10_documents")(lambda s, d: repetition.retention(table(s, d, "documents")))
 
 QUERIES, ORACLES = R.queries, R.oracles

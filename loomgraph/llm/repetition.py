@@ -2,13 +2,12 @@
 
 A text is cut into lines, long lines into sentences and long sentences into blocks of words. Every run of five successive
 words belongs to the line in which it begins, and is a repeat if an equal run began earlier in the text. A line's features
-(the share of its runs that are repeats, whether the line itself occurred before, its length, its place) feed a CRF with the
-labels content and boilerplate; Viterbi decoding marks each line, and the share of words in content lines is the document's
+(the shares of its words, pairs and triples that were met before, whether the line itself was, its length, its place) feed a CRF with
+the labels content and boilerplate; Viterbi decoding marks each line, and the share of words in content lines is the document's
 content share, which decides its retention.
 
-The CRF is trained here on a bounded sample of documents, labelled weakly by whether half of the sought
-share of a line's runs are repeats. Its decision is shifted by `caution` towards boilerplate, so that a document that has enough repeats always has a
-marked line; the exact share (1 - distinct / all runs) is then checked on the marked documents.
+The CRF is trained here on a bounded sample of documents, labelled weakly by whether half of the sought share of a line's runs
+are repeats. Documents whose content share is low enough are then checked for the exact share (1 - distinct / all runs).
 
 Defined results: null, empty and blank texts and texts under five words have no runs: repeated_share 0 and content_share 1,
 retained. A text of one endless line is cut into blocks. Rows that occur twice are measured twice.
@@ -25,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, SHARE, BLOCK = 5, 0.3, 25
-#: Documents in the training sample of the CRF, and characters of the longest text in it.
-SAMPLE, SAMPLE_CHARS = 600, 20_000
-CAUTION = 2.0
-KEEP_AT = 0.5
+#: Documents in the training sample of the CRF, and lines of a training sequence.
+SAMPLE, WINDOW = 600, 100
+KEEP_AT = 0.7
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _CUT = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\r\n\f]+")
 
@@ -47,33 +45,49 @@ def lines_of(text: str) -> tuple[list[str], np.ndarray]:
     return words, np.array(line, np.int64)
 
 
+def run_ids(words: list[str], size: int = SIZE) -> list[np.ndarray]:
+    """For n = 1 .. size an exact number of each run of n successive words: equal numbers mean equal runs."""
+    known: dict[str, int] = {}
+    one = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    out = [one]
+    for n in range(2, size + 1):
+        if len(words) < n:
+            out.append(np.zeros(0, np.int64))
+            continue
+        out.append(np.unique(out[-1][:-1] * len(known) + one[n - 1 :], return_inverse=True)[1].astype(np.int64))
+    return out
+
+
+def again(ids: np.ndarray) -> np.ndarray:
+    """For each run whether an equal one began before it."""
+    out = np.ones(len(ids), bool)
+    out[np.unique(ids, return_index=True)[1]] = False
+    return out
+
+
 def repeats(words: list[str], size: int = SIZE) -> np.ndarray:
     """For each run of `size` words, whether an equal run began before it."""
-    seen: set[tuple] = set()
-    out = np.zeros(max(0, len(words) - size + 1), bool)
-    for i, run in enumerate(zip(*(words[k:] for k in range(size)), strict=False)):
-        if run in seen:
-            out[i] = True
-        else:
-            seen.add(run)
-    return out
+    return again(run_ids(words, size)[-1])
+
+
+def _shares(line: np.ndarray, rep: np.ndarray, n: int) -> np.ndarray:
+    at = line[: len(rep)]
+    return np.bincount(at, rep, n) / np.maximum(np.bincount(at, minlength=n), 1)
 
 
-def features(words: list[str], line: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """One row a line: bias, share of repeats, any repeat, whole line met before, log length, first line."""
+def features(line: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
+    """One row a line: bias, shares of its words, pairs and triples of words met before, whole line met before, log length, first
+    line. The runs of `SIZE` words themselves are left to the labels and to the exact check."""
     n = int(line[-1]) + 1
     size = np.bincount(line, minlength=n)
-    at = line[: len(again)]
-    runs, rep = np.bincount(at, minlength=n), np.bincount(at, again, minlength=n)
-    share = rep / np.maximum(runs, 1)
-    met: set[tuple] = set()
-    before, lo = np.zeros(n), 0
-    for i, s in enumerate(size):
-        key = tuple(words[lo : lo + s])
+    start = np.cumsum(size) - size
+    met: set[bytes] = set()
+    before = np.zeros(n)
+    for i in range(n):
+        key = runs[0][start[i] : start[i] + size[i]].tobytes()
         before[i] = key in met
         met.add(key)
-        lo += s
-    return np.column_stack([np.ones(n), share, rep > 0, before, np.log1p(size) / 4, np.arange(n) == 0])
+    return np.column_stack([np.ones(n), *(_shares(line, again(r), n) for r in runs[:3]), before, np.log1p(size) / 4, np.arange(n) == 0])
 
 
 class Chain:
@@ -102,7 +116,7 @@ class Chain:
     def fit(cls, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.5, ridge: float = 1e-3) -> Chain:
         """Maximum likelihood by gradient ascent; forward-backward over all sequences at once, padded by position."""
         if not sequences:
-            return cls(np.array([-4.0, 12.0, 0.0, 1.0, 0.0, 0.0]), np.array([[0.3, 0.0], [0.0, 0.3]]))
+            return cls(np.array([-4.0, 0.0, 0.0, 8.0, 1.0, 0.0, 0.0]), np.array([[0.3, 0.0], [0.0, 0.3]]))
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
         seqs = [sequences[i] for i in order]
         lens = np.array([len(y) for _, y in seqs])
@@ -134,21 +148,23 @@ class Chain:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, share: float = SHARE) -> Chain:
-    """Fit the CRF on at most `sample` documents (those of smallest key hash), read on the driver."""
-    rows = df.filter((F.length(text) > 0) & (F.length(text) <= SAMPLE_CHARS)).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(sample).collect()
+    """Fit the CRF on at most `sample` whole documents (those of smallest key hash), read on the driver. A line's weak label is whether
+    half of the sought share of its runs are repeats. Long documents are cut into sequences of WINDOW lines."""
+    rows = df.filter(F.length(text) > 0).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).cast("string").alias("t")).orderBy("h", "t").limit(sample).collect()
     seqs = []
     for r in rows:
         words, line = lines_of(r.t)
         if len(words) >= SIZE:
-            x = features(words, line, repeats(words))
-            seqs.append((x[:60], (x[:60, 1] >= share / 2).astype(float)))
+            runs = run_ids(words)
+            x, y = features(line, runs), (_shares(line, again(runs[-1]), int(line[-1]) + 1) >= share / 2).astype(float)
+            seqs += [(x[i : i + WINDOW], y[i : i + WINDOW]) for i in range(0, len(y), WINDOW)]
     return Chain.fit(seqs)
 
 
 OUT = "doc_id bigint, n_runs bigint, repeated_share double, content_share double, n_lines bigint, marked_lines bigint"
 
 
-def measure(df: DataFrame, key: str = "doc_id", text: str = "text", chain: Chain | None = None, caution: float = CAUTION) -> DataFrame:
+def measure(df: DataFrame, key: str = "doc_id", text: str = "text", chain: Chain | None = None) -> DataFrame:
     """For each row: doc_id, n_runs, repeated_share (exact), content_share (words in lines that Viterbi marks as content),
     n_lines, marked_lines."""
     chain = chain or train(df, key, text)
@@ -157,9 +173,10 @@ def measure(df: DataFrame, key: str = "doc_id", text: str = "text", chain: Chain
         words, line = lines_of(t or "")
         if len(words) < SIZE:
             return 0, 0.0, 1.0, int(line[-1]) + 1 if len(line) else 0, 0
-        again = repeats(words)
-        mark = chain.decode(features(words, line, again), caution)
-        return len(again), float(again.sum()) / len(again), float(1 - np.bincount(line)[mark].sum() / len(words)), len(mark), int(mark.sum())
+        runs = run_ids(words)
+        mark = chain.decode(features(line, runs))
+        met = again(runs[-1])
+        return len(met), float(met.sum()) / len(met), float(1 - np.bincount(line)[mark].sum() / len(words)), len(mark), int(mark.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,6 +192,14 @@ def retention(df: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     return measure(df).withColumn("retained", F.col("content_share") >= keep_at)
 
 
+def by_content(df: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id of the documents of which the chain marks at least `share` of the words, by its decision alone."""
+    return measure(df).filter(F.col("content_share") <= 1 - share + 1e-12).select("doc_id")
+
+
 def found(df: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id of the documents with a marked line whose exact share of repeated runs is at least `share`."""
-    return measure(df).filter((F.col("marked_lines") > 0) & (F.col("repeated_share") >= share - 1e-12)).select("doc_id")
+    """doc_id of the documents that the content share singles out and whose exact share of repeated runs is at least `share`.
+
+    A text with that share of repeats has at least (share - share / 2) / (1 - share / 2) of its runs in lines that the labels call
+    boilerplate, so a content share of up to 1 - share / 2 is looked at."""
+    return measure(df).filter((F.col("content_share") <= 1 - share / 2) & (F.col("repeated_share") >= share - 1e-12)).select("doc_id")

@@ -158,6 +158,18 @@ def test_split_text(seed):
     assert back == text
 
 
+def test_pieces_end_at_the_highest_level():
+    para = lambda n: ("Sheep graze on the hill. " * 60)[:n].rstrip() + "."
+    three = "\n\n".join(para(1120) for _ in range(3))
+    got = list(splitting.Splitter(three, 1200, 100, 30).pieces())
+    assert got[0][1] == three.index("\n\n") + 2 and got[0][2] == 1
+    sections = "".join(f"# Part {i}\n\n" + "\n\n".join(para(200 + 40 * j) for j in range(4)) + "\n" for i in range(6))
+    ends = [k for *_, k in splitting.Splitter(sections, 1200, 100, 30).pieces()][:-1]
+    assert all(k in (0, 1) for k in ends) and ends.count(0) >= 4
+    assert [k for *_, k in splitting.Splitter("x" * 3000, 1200, 100, 30).pieces()] == [4, 4, -1]
+    assert {k for *_, k in splitting.Splitter("word " * 900, 1200, 100, 30).pieces()} == {3, -1}
+
+
 def test_pieces(spark):
     rows = [("a", 1, None, "z " * 900), ("b", None, 2, "short"), ("c", 1, 3, None), ("d", 1, 4, ""), ("e", 1, 5, "q" * 1200), ("f", 1, 6, "q" * 1201)]
     df = spark.createDataFrame(rows, "chunk_id string, document_id bigint, chunk_order int, text string").selectExpr("*", "1 AS piece", "'x' AS k")
