@@ -10,7 +10,7 @@ them, in these steps:
    BLOCK entries. A block keeps its bounds of size and position: pairs of blocks whose bounds rule out the needed overlap are
    skipped before any entry is looked at. The lists travel once, packed by bucket; the list of a hot member is split into groups,
    and every two groups meet in a bucket of their own. A pair of sets is a candidate if the members its prefixes share and what is
-   left after the last of them can reach the needed overlap.
+   left after the last of them can reach the needed overlap, and if bitmaps of the two sets allow it. Only sets of such pairs travel.
 4. Set relations: sets within `CLOSE` of a leader follow it. Leaders are joined at a threshold lowered by the followers'
    distances (Jaccard distance is a metric, so nothing can be missed). A follower's answers are derived from its leader's
    computed answers: |y and z| = |x and z| - |(x minus y) and z| + |(y minus x) and z|, from the few members that differ. A
@@ -68,12 +68,20 @@ def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.flatten()), np.diff(off)
 
 
+class Known(dict):
+    """Hashes of words, computed once each."""
+
+    def __missing__(self, w: str) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode())
+        return h
+
+
 def records(df: DataFrame, key: str, text: str, size: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep) and (sets: rep id, s sorted) with one set for each class of equal word sequences."""
     least = max(size, least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Known()
         for b in batches:
             ids, digests, sets = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -82,11 +90,7 @@ def records(df: DataFrame, key: str, text: str, size: int, least_words: int) ->
                     continue
                 if len(known) > 1 << 17:
                     known.clear()
-                try:
-                    h = [known[w] for w in words]
-                except KeyError:
-                    h = [known.setdefault(w, xxhash.xxh3_64_intdigest(w.encode())) for w in words]
-                h = np.array(h, np.uint64)
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 run = np.zeros(len(h) - size + 1, np.uint64)
                 for k in range(size):
                     run = mixed(run * _GOLD + h[k : len(h) - size + 1 + k])
@@ -146,26 +150,27 @@ def unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
 
 
 def by_bucket(bucket: np.ndarray, columns: list[np.ndarray], kinds: tuple) -> Iterator[pa.RecordBatch]:
-    """One packed row for each bucket. Ids (the int64 columns) are stored as differences."""
+    """One packed row for each bucket. Ids (the int64 columns) are stored as differences. `kinds` is one of KINDS."""
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     data = [pack(*[np.diff(c[lo:hi], prepend=0) if k is np.int64 else c[lo:hi].astype(k) for c, k in zip(columns, kinds, strict=True)]) for lo, hi in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), KINDS.index(kinds), np.int32)), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
 
 
-def of_bucket(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[np.ndarray]]:
-    """The columns of each bucket, from rows sorted by bucket."""
-    last, parts = None, []
+def of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple, list[np.ndarray]]]:
+    """The columns of each bucket by kind, from rows sorted by bucket."""
+    last, parts = None, {}
+    joined = lambda: {k: [np.concatenate(c) for c in zip(*p, strict=True)] for k, p in parts.items()}
     for b in batches:
-        for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if k != last and parts:
-                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
-                parts = []
-            last = k
-            parts.append([np.cumsum(c) if t is np.int64 else c for c, t in zip(unpack(data, kinds), kinds, strict=True)])
+        for key, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != last and parts:
+                yield joined()
+                parts = {}
+            last, kinds = key, KINDS[kind]
+            parts.setdefault(kinds, []).append([np.cumsum(c) if t is np.int64 else c for c, t in zip(unpack(data, kinds), kinds, strict=True)])
     if parts:
-        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+        yield joined()
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -174,7 +179,10 @@ def met(rows: DataFrame) -> DataFrame:
 
 ENTRY = (np.uint32, np.int64, np.int32, np.int32, np.float32, np.uint8)  # member, id, size, position, radius, side
 EVENT = (np.int64, np.int64, np.int32, np.int32, np.int32)  # a, b, shared members, members left, overlap needed
-PACKED = "bucket int, data binary"
+SKETCH = (np.int64, np.int32, "V64")  # id, size, bits
+HALF = (np.int64, np.int64, np.int32, np.int32, "V64")  # a, b, overlap needed, size and bits of a
+KINDS = (ENTRY, EVENT, SKETCH, HALF)
+PACKED = "bucket int, kind int, data binary"
 
 
 def needed(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,17 +267,44 @@ def summed(parts: list[tuple]) -> tuple:
     return (a[cuts], b[cuts], np.add.reduceat(c, cuts), np.minimum.reduceat(left, cuts), need[cuts]) if len(a) else (a, b, c, left, need)
 
 
+def id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return mixed(ids.view(np.uint64) * _GOLD) % np.uint64(buckets)
+
+
+def sketched(sets: DataFrame, buckets: int) -> DataFrame:
+    """The packed bitmaps of all sets: 512 bits, one set by each member. Two sets of overlap c differ in at most n + m - 2c bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat, n = _flat(b.column(1))
+                ids, bits = np.asarray(b.column(0)), np.zeros((len(n), 512), np.uint8)
+                bits[np.repeat(np.arange(len(n)), n), (mixed(flat.view(np.uint64)) >> np.uint64(55)).astype(np.int64)] = 1
+                yield from by_bucket(id_bucket(ids, buckets), [ids, n, np.packbits(bits, axis=1).view("V64")[:, 0]], SKETCH)
+
+    return sets.select("id", "s").mapInArrow(run, PACKED)
+
+
+def of_ids(table: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size, bits) of the ids, all of which are in the table."""
+    order = np.argsort(table[0], kind="stable")
+    at = order[np.searchsorted(table[0], ids, sorter=order)]
+    return table[1][at], table[2][at]
+
+
 def candidates(sets: DataFrame, table, base: float, widest: float, limit: int) -> DataFrame:
-    """(a, b), a < b, each pair once: all pairs that the members shared in their prefixes don't rule out. sets: id, s, r."""
+    """(a, b), a < b, each pair once: all pairs that neither the members shared in their prefixes nor their bitmaps rule out.
+    sets: id, s, r."""
     buckets = parallelism(sets.sparkSession) * 8
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(parts):
             a, b, *rest = summed(parts)
             if len(a):
-                yield from by_bucket(mixed(a.view(np.uint64) * _GOLD + b.view(np.uint64)) % np.uint64(buckets), [a, b, *rest], EVENT)
+                yield from by_bucket(id_bucket(a, buckets), [a, b, *rest], EVENT)
 
-        for columns in of_bucket(batches, ENTRY):
+        for kinds in of_bucket(batches):
+            columns = kinds[ENTRY]
             order = np.lexsort((columns[3], columns[2], columns[0]))
             parts, held = [], 0
             for p in block_pairs(*[c[order] for c in columns], base):
@@ -281,13 +316,28 @@ def candidates(sets: DataFrame, table, base: float, widest: float, limit: int) -
             if parts:
                 yield from send(parts)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in of_bucket(batches, EVENT):
-            a, b, c, left, need = summed([tuple(columns)])
-            ok = c + left >= need
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    return met(met(listed(sets, table, base, widest, buckets, limit)).mapInArrow(join, PACKED)).mapInArrow(decide, "a bigint, b bigint")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in of_bucket(batches):
+            if EVENT in kinds:
+                a, b, c, left, need = summed([tuple(kinds[EVENT])])
+                ok = c + left >= need
+                a, b, need = a[ok], b[ok], need[ok]
+                if len(a):
+                    yield from by_bucket(id_bucket(b, buckets), [a, b, need, *of_ids(kinds[SKETCH], a)], HALF)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in of_bucket(batches):
+            if HALF in kinds:
+                a, b, need, na, bits = kinds[HALF]
+                nb, other = of_ids(kinds[SKETCH], b)
+                apart = np.bitwise_count(bits.view(np.uint64).reshape(-1, 8) ^ other.view(np.uint64).reshape(-1, 8)).sum(1, dtype=np.int64)
+                ok = na + nb - apart >= 2 * need
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    bitmaps = sketched(sets, buckets)
+    events = met(listed(sets, table, base, widest, buckets, limit)).mapInArrow(join, PACKED)
+    half = met(events.unionByName(bitmaps)).mapInArrow(first, PACKED)
+    return met(half.unionByName(bitmaps)).mapInArrow(second, "a bigint, b bigint")
 
 
 # ---------------------------------------------------------------- overlaps and set relations
