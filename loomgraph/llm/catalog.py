@@ -22,6 +22,7 @@ R.add("p7_found", "SELECT chunk_id FROM text_chunks WHERE length(text) > 1200")(
 R.add("p7_pieces")(lambda s, d: splitting.pieces(table(s, d, "text_chunks")))
 R.add("p8_ids")(lambda s, d: tokenizing.encode(table(s, d, "documents")))
 R.add("p9_shares")(lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1])
+R.add("p9_exact_shares")(lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"), exact=True)[1])
 R.add("p9_documents")(lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0])
 R.add("p10_found")(lambda s, d: repetition.found(table(s, d, "documents")))
 R.add("p10_by_content")(lambda s, d: repetition.by_content(table(s, d, "documents")))

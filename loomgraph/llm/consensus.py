@@ -4,11 +4,13 @@ Every annotator of a packet gives up to two signals: the vote (from whichever pr
 the difference of the two answers' scores. Each annotator's votes and scores are two raters with reliabilities of their own.
 
 A rater's answer is a one-hot vector over {hi, other, tie} less the rater's own class shares, so agreement is centred by
-chance and a rater who always gives the same answer agrees with nobody. The reliabilities r are the leading eigenvector of the
-matrix of centred agreements, corrected for overlap: r(i) = sum over j of n(ij) c(ij) r(j) / (k sum over j of n(ij) r(j)^2), where
-n(ij) counts common packets. It is found by power iteration. The matrix is never written out: a step joins the ratings with
-the raters and adds up by packet, then joins with the packets' sums and adds up by rater, so neither a packet of very many
-annotators nor many annotators give pairs. A rater who votes against the truth gets a negative r, and its votes count so.
+chance and a rater who always gives the same answer agrees with nobody. The reliabilities r are, up to a factor, the leading
+eigenvector of the matrix A of summed centred agreements, normalised by overlap counts, D^-1/2 A D^-1/2, found by power
+iteration; the factor comes from the eigenvalue. One pass then corrects each r by the reliabilities of those the rater did overlap
+with: r(i) = sum over j of n(ij) c(ij) r(j) / (k sum over j of n(ij) r(j)^2), where n(ij) counts common packets. The matrix is
+never written out: a step joins the ratings with the raters and adds up by packet, then joins with the packets' sums and adds up
+by rater, so neither a packet of very many annotators nor many annotators give pairs. A rater who votes against the truth gets a
+negative r, and its votes count so.
 
 Consensus: the choice of largest sum of log-odds weights ln((1 + 2r) / (1 - r)). Agreement: the share of a packet's votes for
 its most frequent choice, and the weighted share for the consensus.
@@ -21,15 +23,18 @@ choice of more plain votes wins, then hi, then the other, then the tie.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import fold_name, strip
-from loomgraph.session import cut
+from loomgraph.session import written
 
 #: Words for a tie, after folding (fixed by the export's spellings and their like).
 TIES = ("tie", "both", "equal", "same", "draw", "neither", "even")
-STEPS, TOLERANCE, SHRINK = 25, 1e-4, 5.0
+STEPS, TOLERANCE, SHRINK = 60, 1e-3, 5.0
+#: Added to the diagonal, so that the largest eigenvalue is the one of largest size.
+SHIFT = 0.1
 LOW, HIGH = -0.45, 0.97
 K = ("hi", "other", "tie")
 
@@ -78,35 +83,54 @@ def channels(r: DataFrame) -> DataFrame:
     return r.select("packet_id", "annotator", F.explode(kinds).alias("x")).select("packet_id", F.struct("annotator", "x.kind").alias("rater"), F.col("x.k").alias("k")).filter("k IS NOT NULL")
 
 
+def _product(sig: DataFrame, q: DataFrame, x: str) -> DataFrame:
+    """rater, and the products of the raters' centred agreement matrix A (zero diagonal) with the column x of q, of the overlap counts with
+    ones and with the squares of x: ax, n1, nxx. By packet sums, so that no pair of raters is written out."""
+    full = sig.join(q.select("rater", *[f"q_{k}" for k in K], F.col(x).alias("x")), "rater")
+    v = [(F.col("k") == k).cast("double") - F.col(f"q_{k}") for k in K]
+    sums = full.groupBy("packet_id").agg(*[F.sum(F.col("x") * c).alias(f"s_{k}") for k, c in zip(K, v, strict=True)], F.sum(F.col("x") ** 2).alias("xx"), F.count("*").alias("m"))
+    own = sum((c * (F.col(f"s_{k}") - F.col("x") * c) for k, c in zip(K, v, strict=True)), F.lit(0.0))
+    return full.join(sums, "packet_id").groupBy("rater").agg(F.sum(own).alias("ax"), F.sum(F.col("m") - 1).alias("n1"), F.sum(F.col("xx") - F.col("x") ** 2).alias("nxx"))
+
+
 def reliabilities(sig: DataFrame, steps: int = STEPS) -> DataFrame:
-    """rater, r, n. sig is best cut before."""
+    """rater, r, n, turned: the sine of the angle by which the vector still turned in the last step, the same in all rows; above TOLERANCE
+    the power iteration hadn't settled after `steps` steps. sig is best written before."""
     n = sig.count()
     q = sig.groupBy("rater").agg(F.count("*").alias("n"), *[F.avg((F.col("k") == k).cast("double")).alias(f"q_{k}") for k in K])
-    q = cut(q.withColumn("r", F.lit(0.5)))
+    if not n:
+        return q.select("rater", F.lit(0.0).alias("r"), "n", F.lit(0.0).alias("turned"))
     share = sig.groupBy("k").count().collect()  # three rows
-    kappa = max(0.05, 1 - sum((x["count"] / n) ** 2 for x in share)) if n else 1.0
-    for _ in range(steps if n else 0):
-        full = sig.join(q, "rater")
-        x = [((F.col("k") == k).cast("double") - F.col(f"q_{k}")) for k in K]
-        sums = full.groupBy("packet_id").agg(*[F.sum(F.col("r") * v).alias(f"s_{k}") for k, v in zip(K, x, strict=True)], F.sum(F.col("r") ** 2).alias("rr"))
-        both = full.join(sums, "packet_id")
-        own = sum((v * (F.col(f"s_{k}") - F.col("r") * v) for k, v in zip(K, x, strict=True)), F.lit(0.0))
-        new = both.groupBy("rater").agg((F.sum(own) / (kappa * (F.sum(F.col("rr") - F.col("r") ** 2) + SHRINK))).alias("new"))
-        # Ties in direction are broken towards a positive mean: most raters are taken to be honest.
-        q = q.join(new, "rater", "left").withColumn("new", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("new", F.lit(0.0)))))
-        q = cut(q.withColumn("step", F.abs(F.col("new") - F.col("r"))).withColumn("r", (F.col("r") + 2 * F.col("new")) / 3).drop("new"))
-        moved = q.agg(F.max("step"), F.sum("r")).first()
-        q = q.drop("step")
-        if moved[0] is None or moved[0] < TOLERANCE * 10:
+    kappa = max(0.05, 1 - sum((x["count"] / n) ** 2 for x in share))
+    # D^-1/2 A D^-1/2 with D the overlap counts (SHRINK added) is a fixed symmetric matrix; y = D^-1/2 u is iterated in place of u.
+    d = _product(sig, q.withColumn("one", F.lit(1.0)), "one").select("rater", (F.col("n1") + SHRINK).alias("d"))
+    q = written(q.join(d, "rater").withColumn("y", 1 / F.sqrt(F.col("d"))), "raters")
+    total = q.agg(F.sum("d")).first()[0]
+    turned, size, zz = 1.0, 0.0, None
+    for _ in range(steps):
+        moved = F.coalesce("ax", F.lit(0.0)) / F.col("d") + SHIFT * F.col("y")
+        z = written(q.join(_product(sig, q, "y").select("rater", "ax"), "rater", "left").withColumn("z", moved).drop("ax"), "raters")
+        yy, yz, zz = z.agg(F.sum(F.col("d") * F.col("y") ** 2), F.sum(F.col("d") * F.col("y") * F.col("z")), F.sum(F.col("d") * F.col("z") ** 2)).first()
+        if not zz:
+            break
+        size, turned = yz / yy - SHIFT, max(0.0, 1 - yz**2 / (yy * zz)) ** 0.5
+        q = z.withColumn("y", F.col("z") / float(np.sqrt(zz))).drop("z")
+        if turned < TOLERANCE:
             break
+    # The eigenvector gives reliabilities up to a factor, which the eigenvalue gives; then one correction by each rater's own overlaps.
+    scale = float(np.sqrt(max(size, 0.0) * total / kappa)) if zz else 0.0
+    q = written(q.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("y") * scale))), "raters")
+    new = _product(sig, q, "r").select("rater", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ax") / (kappa * (F.col("nxx") + SHRINK)))).alias("new"))
+    q = written(q.join(new, "rater", "left").select("rater", "n", F.coalesce("new", F.lit(0.0)).alias("r")), "raters")
+    # Ties in direction are broken towards a positive sum: most raters are taken to be honest.
     flip = q.agg(F.sum("r")).first()[0]
-    return q.select("rater", "n", (F.col("r") * (1 if flip is None or flip >= 0 else -1)).alias("r"))
+    return q.select("rater", "n", (F.col("r") * (1 if flip is None or flip >= 0 else -1)).alias("r"), F.lit(float(turned)).alias("turned"))
 
 
 def solve(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ratings, signals, reliabilities)."""
-    r = cut(ratings(df))
-    sig = cut(channels(r))
+    r = written(ratings(df), "ratings")
+    sig = written(channels(r), "signals")
     return r, sig, reliabilities(sig)
 
 
@@ -138,10 +162,10 @@ def packets(df: DataFrame) -> DataFrame:
 
 
 def annotators(df: DataFrame) -> DataFrame:
-    """annotator, reliability (of the votes), score_reliability, n_votes, n_scores."""
+    """annotator, reliability (of the votes), score_reliability, n_votes, n_scores, turned (see reliabilities)."""
     _, _, rel = solve(df)
     k = F.col("rater.kind")
-    return rel.groupBy(F.col("rater.annotator").alias("annotator")).agg(F.max(F.when(k == "vote", F.col("r"))).alias("reliability"), F.max(F.when(k == "score", F.col("r"))).alias("score_reliability"), F.coalesce(F.max(F.when(k == "vote", F.col("n"))), F.lit(0)).alias("n_votes"), F.coalesce(F.max(F.when(k == "score", F.col("n"))), F.lit(0)).alias("n_scores"))
+    return rel.groupBy(F.col("rater.annotator").alias("annotator")).agg(F.max(F.when(k == "vote", F.col("r"))).alias("reliability"), F.max(F.when(k == "score", F.col("r"))).alias("score_reliability"), F.coalesce(F.max(F.when(k == "vote", F.col("n"))), F.lit(0)).alias("n_votes"), F.coalesce(F.max(F.when(k == "score", F.col("n"))), F.lit(0)).alias("n_scores"), F.max("turned").alias("turned"))
 
 
 def found(df: DataFrame) -> DataFrame:

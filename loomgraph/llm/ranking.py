@@ -16,16 +16,21 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomgraph.functions.text import fold_name
+from loomgraph.operators.order import positions
 from loomgraph.session import cut
 
-HALF, RIDGE, STEPS, TOLERANCE = 0.5, 0.05, 60, 1e-9
-#: Up to this many pairs the system is solved in one task; beyond it by distributed joins. The number is counted first.
+HALF, RIDGE, TOLERANCE = 0.5, 0.05, 1e-9
+#: Up to this many pairs, counted first, the system is solved on the driver, where a step needs no Spark job; beyond it by distributed
+#: joins. Both take the same steps and end by the same rule, so the size decides nothing but the time.
 SMALL = 200_000
 
 
+def most_steps(n: int) -> int:
+    return 10 * n + 50
+
+
 def votes(pairwise: DataFrame, totals: DataFrame, catalog: DataFrame) -> DataFrame:
     """a, b, wins_a, wins_b, source: aggregated by pair (a < b) and source of the votes."""
     out = F.lower(F.trim("human_outcome"))
@@ -53,52 +58,54 @@ def edges(pairs: DataFrame) -> DataFrame:
     return s.select("a", "b", F.log(p / q).alias("y"), (p * q / (p + q)).alias("weight"), (F.col("p") + F.col("q")).alias("n"))
 
 
-def solve_small(a: np.ndarray, b: np.ndarray, y: np.ndarray, w: np.ndarray, n: int, ridge: float) -> np.ndarray:
-    """Conjugate gradient on (L + ridge I) s = B' W y."""
+def unconverged(rr: float, r0: float) -> bool:
+    """The stop rule of both solvers: the residual's norm against the right side's."""
+    return rr > TOLERANCE**2 * max(r0, 1e-300)
+
+
+def solve_small(a: np.ndarray, b: np.ndarray, y: np.ndarray, w: np.ndarray, n: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Conjugate gradient on (L + ridge I) s = B' W y: (s, relative residual)."""
     rhs = np.bincount(a, w * y, n) - np.bincount(b, w * y, n)
     deg = np.bincount(a, w, n) + np.bincount(b, w, n) + ridge
     apply = lambda v: deg * v - np.bincount(a, w * v[b], n) - np.bincount(b, w * v[a], n)
     s, r = np.zeros(n), rhs.copy()
-    z = r / deg
-    p, rz = z.copy(), r @ z
-    for _ in range(10 * n + 50):
-        if np.sqrt(r @ r) <= TOLERANCE * max(1.0, np.sqrt(rhs @ rhs)):
+    p, rz, r0 = r / deg, r @ (r / deg), float(rhs @ rhs)
+    for _ in range(most_steps(n)):
+        if not unconverged(float(r @ r), r0):
             break
         q = apply(p)
         step = rz / (p @ q)
         s, r = s + step * p, r - step * q
-        z = r / deg
-        rz, old = r @ z, rz
-        p = z + rz / old * p
-    return s
+        rz, old = r @ (r / deg), rz
+        p = r / deg + rz / old * p
+    return s, float(np.sqrt(r @ r / r0)) if r0 else 0.0
 
 
-def solve_large(e: DataFrame, items: DataFrame, ridge: float, steps: int = STEPS) -> DataFrame:
-    """The same by sparse joins: the vectors are tables keyed by item, each step one join and one aggregation."""
+def solve_large(e: DataFrame, items: DataFrame, ridge: float) -> tuple[DataFrame, float]:
+    """The same by sparse joins: the vectors are columns of a table keyed by item; a step is one join, one aggregation and one row of sums."""
     sym = cut(e.select("a", "b", "weight").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     deg = sym.groupBy("a").agg(F.sum("weight").alias("d")).withColumnRenamed("a", "item")
     rhs = e.select(F.col("a").alias("item"), (F.col("weight") * F.col("y")).alias("v")).unionByName(e.select(F.col("b").alias("item"), (-F.col("weight") * F.col("y")).alias("v"))).groupBy("item").agg(F.sum("v").alias("r"))
     st = items.join(deg, "item", "left").join(rhs, "item", "left").fillna(0.0, ["d", "r"]).withColumn("d", F.col("d") + ridge)
     st = cut(st.select("item", "d", F.lit(0.0).alias("s"), "r", (F.col("r") / F.col("d")).alias("p")))
-    rz, r0 = st.agg(F.sum(F.col("r") ** 2 / F.col("d")), F.sum(F.col("r") ** 2)).first()
-    limit = (TOLERANCE**2) * max(1.0, r0 or 0.0)
-    rr = r0 or 0.0
-    for _ in range(steps):
-        if rr <= limit:
+    n, rz, r0 = st.agg(F.count("*"), F.sum(F.col("r") ** 2 / F.col("d")), F.sum(F.col("r") ** 2)).first()
+    rr = r0 = r0 or 0.0
+    for _ in range(most_steps(n)):
+        if not unconverged(rr, r0):
             break
         pulled = sym.join(st.select(F.col("item").alias("b"), F.col("p").alias("pb")), "b").groupBy("a").agg(F.sum(F.col("weight") * F.col("pb")).alias("m")).withColumnRenamed("a", "item")
-        st = st.join(pulled, "item", "left").withColumn("q", F.col("d") * F.col("p") - F.coalesce("m", F.lit(0.0))).drop("m")
-        st = cut(st)
+        st = cut(st.join(pulled, "item", "left").withColumn("q", F.col("d") * F.col("p") - F.coalesce("m", F.lit(0.0))).drop("m"))
         step = rz / st.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         st = st.withColumn("s", F.col("s") + step * F.col("p")).withColumn("r", F.col("r") - step * F.col("q")).drop("q")
         new, rr = st.agg(F.sum(F.col("r") ** 2 / F.col("d")), F.sum(F.col("r") ** 2)).first()
         st = st.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p"))
         rz = new
-    return st.select("item", F.col("s").alias("strength"))
+    return st.select("item", F.col("s").alias("strength")), float(np.sqrt(rr / r0)) if r0 else 0.0
 
 
 def strengths(e: DataFrame, items: DataFrame, ridge: float = RIDGE, small: int = SMALL) -> DataFrame:
-    """item, strength (mean zero over all items) for items(item)."""
+    """item, strength (mean zero over all items), residual (the solver's, relative, the same in all rows) for items(item). Raises if
+    the solver doesn't reach TOLERANCE."""
     spark = e.sparkSession
     e = cut(e)
     if e.limit(small + 1).count() <= small and items.limit(small + 1).count() <= small:
@@ -106,22 +113,24 @@ def strengths(e: DataFrame, items: DataFrame, ridge: float = RIDGE, small: int =
         at = {n: i for i, n in enumerate(names)}
         rows = e.collect()
         a, b = (np.array([at[r[k]] for r in rows], np.int64) for k in ("a", "b"))
-        s = solve_small(a, b, np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float), len(names), ridge) if rows else np.zeros(len(names))
+        s, left = solve_small(a, b, np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float), len(names), ridge) if rows else (np.zeros(len(names)), 0.0)
         out = spark.createDataFrame([(n, float(v)) for n, v in zip(names, s, strict=True)], "item string, strength double")
     else:
-        out = solve_large(e, items, ridge)
+        out, left = solve_large(e, items, ridge)
+    if left > TOLERANCE:
+        raise ArithmeticError(f"the solver stopped at a relative residual of {left:g}")
     mean = out.agg(F.avg("strength").alias("m"))
-    return out.join(F.broadcast(mean)).select("item", (F.col("strength") - F.col("m")).alias("strength"))  # one row
+    return out.join(F.broadcast(mean)).select("item", (F.col("strength") - F.col("m")).alias("strength"), F.lit(left).alias("residual"))  # one row
 
 
-def rank(pairwise: DataFrame, totals: DataFrame, catalog: DataFrame) -> DataFrame:
-    """variant, rank_pos, strength, n_votes, n_opponents."""
+def rank(pairwise: DataFrame, totals: DataFrame, catalog: DataFrame, small: int = SMALL) -> DataFrame:
+    """variant, rank_pos, strength, n_votes, n_opponents, residual."""
     e = cut(edges(votes(pairwise, totals, catalog)))
     items = catalog.select(fold_name(F.col("variant")).alias("item")).filter("item IS NOT NULL").distinct()
-    s = strengths(e, items)
+    s = strengths(e, items, small=small)
     met = e.select(F.col("a").alias("item"), "n").unionByName(e.select(F.col("b").alias("item"), "n")).groupBy("item").agg(F.sum("n").alias("n_votes"), F.count("*").alias("n_opponents"))
-    order = Window.partitionBy().orderBy(F.desc(F.round("strength", 9)), "item")  # one row an item of the catalog
-    return s.join(met, "item", "left").fillna(0, ["n_votes", "n_opponents"]).select(F.col("item").alias("variant"), F.row_number().over(order).alias("rank_pos"), "strength", "n_votes", "n_opponents")
+    placed = positions(s, [F.desc(F.round("strength", 9)), F.asc("item")], "rank_pos", 1)
+    return placed.join(met, "item", "left").fillna(0, ["n_votes", "n_opponents"]).select(F.col("item").alias("variant"), F.col("rank_pos").cast("int").alias("rank_pos"), "strength", "n_votes", "n_opponents", "residual")
 
 
 def inconsistency(pairwise: DataFrame, totals: DataFrame, catalog: DataFrame) -> DataFrame:

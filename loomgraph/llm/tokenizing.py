@@ -205,12 +205,14 @@ class Encoder:
 _ranks: dict[str, dict[bytes, int]] = {}
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = LEXICON, counts_only: bool = False) -> DataFrame:
-    """(doc_id, ids) of every row; with counts_only (doc_id, n_tokens) of the same encoding. The vocabulary's path must be
-    the same on all machines."""
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = LEXICON, counts_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids) of every row, and the columns to keep; with counts_only (doc_id, n_tokens) of the same encoding. The vocabulary's
+    path must be the same on all machines."""
     path = path or vocabulary()
     mapped, data = build(df, text, path, size)
     shared = df.sparkSession.sparkContext.broadcast(data)  # at most LEXICON words of at most LONGEST characters
+    rows = df.select(F.col(text).cast("string").alias("__t"), F.col(key).cast("bigint").alias("doc_id"), *keep)
+    last = "n_tokens" if counts_only else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ranks:
@@ -219,9 +221,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         for b in batches:
             for lo in range(0, b.num_rows, 1000):  # bounds the ids held at once
                 part = b.slice(lo, 1000)
-                ids = [enc.encode(t) for t in part.column(1).to_pylist()]
+                ids = [enc.encode(t) for t in part.column(0).to_pylist()]
                 out = pa.array(map(len, ids), pa.int64()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), out], names=["doc_id", "n_tokens" if counts_only else "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*part.schema.names[1:], last])
 
-    rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint" if counts_only else "doc_id bigint, ids array<int>")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__t").schema)
+    return rows.mapInArrow(run, f"{kept}, {last} {'bigint' if counts_only else 'array<int>'}")
