@@ -1,6 +1,6 @@
 """Broken prompt and response pairs.
 
-Two models do the work:
+Three models do the work:
 
 * Language posteriors of the prompt and of the response from a naive Bayes model over character 1- to 3-grams, fitted on a
   bounded sample of labelled documents. The labels are dirty, so the model is fitted, its disagreeing samples are dropped, and
@@ -8,20 +8,23 @@ Two models do the work:
   are taken out first, since a foreign quotation is no defect.
 * An end-of-text n-gram model, counted over all responses: how likely does a line end after these last tokens, given the kind
   of line and what is still open, and how likely does a text end with such a line. A response whose end is unlikely breaks off.
-  It learns only from lines that aren't a text's last, so truncated responses can't teach it.
+  Single words learn only from lines that aren't a text's last, so truncated responses can't teach it that they may end one; a text's
+  last line counts for whole classes of tokens. The threshold is fitted on responses and the same responses cut short.
+* A naive Bayes ratio of a response's words and pairs of words for refusals, counted over all responses with weak labels from phrase
+  lists; it decides alone, so a refusal in other words is found and a phrase inside an answer is none.
 
-Empty responses, copies of the question and refusals are found by what they consist of. A response has at most one defect; the
+Empty responses and copies of the question are found by what they consist of. A response has at most one defect; the
 order is empty, copied_question, refusal, other_language, truncated.
 
 Defined results: a null response is empty; with a null or empty prompt, neither copied_question nor other_language can be
-told, nor the latter with a prompt of under six letters; a response of a few letters isn't judged by language unless its script differs; ties and repeated rows are judged alike.
+told; texts of few letters have flat posteriors and are judged by them like all others; without any weakly labelled refusal none is found;
+ties and repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
 import html
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -29,16 +32,22 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.functions.text import strip
 
 # ---------------------------------------------------------------- language
 
-#: Labelled documents read for each language, and characters read of each: the bound of the classifier's training sample.
-LANG_DOCS, LANG_CHARS = 400, 2000
+#: Labelled documents read for each language: the bound of the classifier's training sample.
+LANG_DOCS = 400
+#: The least margin of log odds between two languages; the fitted one, which snippets pass by mistake at this rate, may be larger.
+LANG_MARGIN, LANG_ERRORS = 20.0, 0.01
 GRAM_BITS = 16
+#: The most that a single gram can speak for one language against another.
+MOST = 6.0
 LANGUAGES = ("de", "en", "es", "fr", "ru", "zh")
 
 
@@ -60,7 +69,7 @@ class Languages:
     """Multinomial naive Bayes over hashed character n-grams."""
 
     def __init__(self, names: list[str], table: np.ndarray):
-        self.names, self.table = names, table
+        self.names, self.table, self.margin = names, table, LANG_MARGIN
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]]) -> Languages:
@@ -72,60 +81,69 @@ class Languages:
             for lang, g in kept:
                 counts[names.index(lang)] += np.bincount(g, minlength=1 << GRAM_BITS)
             model.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+            model.table = np.maximum(model.table, model.table.max(0) - MOST)  # one gram, met or not, decides nothing
             if turn == 0:
                 kept = [(lang, g) for lang, g in kept if names[int(model.table[:, g].sum(1).argmax())] == lang]
         return model
 
+    @classmethod
+    def calibrated(cls, samples: list[tuple[str, str]]) -> Languages:
+        """fit, with the margin by which all but LANG_ERRORS of the snippets of texts that weren't fitted prefer a wrong language at most."""
+        half = cls.fit(samples[::2])
+        wrong = []
+        for n, (lang, t) in enumerate(samples[1::2]):
+            if half.names[int(half.scores(t).argmax())] != lang:
+                continue  # a dirty label
+            for size in (15, 25, 40):
+                at = (n * 7919 + size) % max(1, len(t) - size)
+                s = half.scores(t[at : at + size])
+                wrong.append(float(s.max() - s[half.names.index(lang)]))
+        model = cls.fit(samples)
+        model.margin = max(LANG_MARGIN, float(np.quantile(wrong, 1 - LANG_ERRORS))) if wrong else LANG_MARGIN
+        return model
+
     def scores(self, text: str) -> np.ndarray:
         return self.table[:, grams(text)].sum(1).astype(float)
 
 
 def fit_languages(documents: DataFrame) -> Languages:
+    """One scan: Spark keeps the LANG_DOCS documents of least hash of each language before and after the shuffle."""
     lang = F.regexp_extract(F.lower(strip(F.col("lang"))), "^([a-z]{2})(-|_|$)", 1)
-    rows = documents.select(lang.alias("l"), F.substring("text", 1, LANG_CHARS).alias("t"), F.xxhash64("doc_id").alias("h")).filter(F.col("l").isin(*LANGUAGES) & (F.length("t") > 40))
-    # one bounded top-n a language: order by hash within a language and limit, without a window over the whole language
-    out = []
-    for x in LANGUAGES:
-        out += [(r.l, r.t) for r in rows.filter(F.col("l") == x).orderBy("h", "t").limit(LANG_DOCS).select("l", "t").collect()]
-    return Languages.fit(out)
+    rows = documents.select(lang.alias("l"), F.col("text").alias("t"), F.xxhash64("doc_id").alias("h")).filter(F.col("l").isin(*LANGUAGES) & (F.length("t") > 40))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("n") <= LANG_DOCS)
+    return Languages.calibrated([(r.l, r.t) for r in first.select("l", "h", "t").orderBy("h", "t").collect()])
 
 
 _QUOTED = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|\"[^\"\n]{3,}\"|“[^”\n]{3,}”|«[^»\n]{3,}»|„[^“”\n]{3,}[“”]", regex.S)
-_LETTER, _HAN, _CYRILLIC = (regex.compile(x) for x in (r"\p{L}", r"\p{Han}", r"\p{Cyrillic}"))
-LANG_MARGIN, LANG_RATE, LANG_LETTERS, QUERY_LETTERS = 12.0, 0.12, 25, 6
-
-
-def script(text: str) -> str:
-    """The script most letters of a text are in: han, cyrillic or other."""
-    han, cyr = len(_HAN.findall(text)), len(_CYRILLIC.findall(text))
-    rest = len(_LETTER.findall(text)) - han - cyr
-    return max((rest, "other"), (han, "han"), (cyr, "cyrillic"))[1]
+_LETTER = regex.compile(r"\p{L}")
+#: Log odds by which a response must prefer its language to the prompt's by letter.
+LANG_RATE = 0.12
 
 
 def other_language(model: Languages, query: str, answer: str) -> bool:
+    """Whether the posteriors of prompt and response have no language in common. A text of few letters has flat posteriors, so that it
+    shares a language with almost any other."""
     prose = _QUOTED.sub(" ", answer)
-    if len(_LETTER.findall(prose)) < LANG_LETTERS and len(_LETTER.findall(answer)) >= LANG_LETTERS:
+    if 2 * len(_LETTER.findall(prose)) < len(_LETTER.findall(answer)):
         prose = answer
     letters = len(_LETTER.findall(prose))
-    if not letters or len(_LETTER.findall(query)) < QUERY_LETTERS:
+    if not letters:
         return False
     a, q = model.scores(prose), model.scores(query)
     mine, asked = int(a.argmax()), int(q.argmax())
     if mine == asked:
         return False
     # The prompt's posterior counts too: the best language that both could share must be clearly worse than two languages.
-    both = a + q
-    shared = int(both.argmax())
+    shared = int((a + q).argmax())
     apart = (a[mine] - a[shared]) + (q[asked] - q[shared])
     gap = a[mine] - a[asked]
-    if letters < LANG_LETTERS:  # too short for counts: only a script that no letter of the prompt is in
-        return script(prose) != script(query)
-    return gap > LANG_MARGIN and apart > LANG_MARGIN and gap / letters > LANG_RATE
+    return gap > model.margin and apart > model.margin and gap / letters > LANG_RATE
 
 
 # ---------------------------------------------------------------- end of text
 
-END_BITS = 18
+#: Two tables of 2^19 counters; a context is counted in both and read from the one with fewer strangers.
+END_BITS = 19
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|```|\*\*|[^\s\p{L}\p{N}]")
 _BULLET = regex.compile(r"\s*(?:[-*•+]|\d+[.)])\s+")
 _STOP = regex.compile(r"[.!?。！？…:;)\]\"”»'’]\s*$")
@@ -215,15 +233,21 @@ def count_text(text: str, ends: Counter, seen: Counter) -> None:
             ends["text|" + kind] += 1
 
 
-def bucket(c: str) -> int:
-    return zlib.crc32(c.encode()) & ((1 << END_BITS) - 1)
+def buckets(c: str) -> tuple[int, int]:
+    h = xxhash.xxh3_64_intdigest(c.encode())
+    return h & ((1 << END_BITS) - 1), (1 << END_BITS) + (h >> (64 - END_BITS))
 
 
 class Endings:
     """P(line ends | kind, open, last tokens) by interpolated back-off, and P(text ends | kind of its last line)."""
 
-    def __init__(self, ends: np.ndarray, seen: np.ndarray):
-        self.ends, self.seen = ends, seen
+    def __init__(self, ends: np.ndarray, seen: np.ndarray, break_at: float = -5.8):
+        self.ends, self.seen, self.break_at = ends, seen, break_at
+
+    def counts(self, c: str) -> tuple[float, float]:
+        a, b = buckets(c)
+        at = a if self.seen[a] <= self.seen[b] else b
+        return float(min(self.ends[a], self.ends[b])), float(self.seen[at])
 
     def likelihood(self, text: str) -> float:
         """The log likelihood of the text's end."""
@@ -232,49 +256,41 @@ class Endings:
             return 0.0
         kind, tokens = lines[-1]
         i = len(tokens) - 1
-        b = bucket("text|" + kind)
-        p_text = (self.ends[b] + 0.5) / (self.seen[b] + 5.0)
+        ends, seen = self.counts("text|" + kind)
+        p_text = (ends + 0.5) / (seen + 5.0)
         if not tokens:
             return math.log(p_text)
         p, state = 0.02, opened(tokens)
         if state[i]:
             p_text *= OPEN_END  # a bracket, a quotation or bold text left open
-        elif kind in ("item", "item-p") and tokens[i] not in CONTINUES:
-            return 0.0  # a short item of a plain list ends with any word: the counts can't tell
         for c, k in zip(contexts(kind, tokens, state, i), (20.0, 8.0, 8.0), strict=True):
-            b = bucket(c)
-            p = (self.ends[b] + k * p) / (self.seen[b] + k)
+            ends, seen = self.counts(c)
+            p = (ends + k * p) / (seen + k)
         return math.log(max(p, 1e-9)) + math.log(max(p_text, 1e-9))
 
 
-def fit_endings(answers: DataFrame, text: str = "answer") -> Endings:
-    """Counts over all responses: added up by hashed context inside each batch, then by Spark; at most 2^END_BITS rows come
-    back, whatever the number of responses."""
+#: The share of sound texts that end with something left open.
+OPEN_END = 0.002
+#: Responses that thresholds are fitted on; how often a sound response stands against one broken response.
+HELD, ODDS = 4000, 5.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << END_BITS), np.int64)
-        for b in batches:
-            ends, seen = Counter(), Counter()
-            for t in b.column(0).to_pylist():
-                count_text(t, ends, seen)
-            for row, c in ((0, ends), (1, seen)):
-                for k, v in c.items():
-                    total[row, bucket(k)] += v
-        at = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], names=["b", "e", "s"])
 
-    rows = answers.select(F.col(text).alias("t")).filter("t IS NOT NULL").mapInArrow(run, "b int, e bigint, s bigint").groupBy("b").agg(F.sum("e").alias("e"), F.sum("s").alias("s")).toArrow()
-    ends, seen = (np.zeros(1 << END_BITS, np.float32) for _ in range(2))
-    at = rows.column(0).to_numpy()
-    ends[at], seen[at] = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-    return Endings(ends, seen)
+def cut_short(text: str, h: int) -> str | None:
+    """The text broken off inside its last lines, at a place drawn by h."""
+    n = len(text.rstrip())
+    return text[: n // 2 + h % (n - n // 2 - 1) + 1] if n >= 20 else None
 
 
-#: The share of sound texts that end with something left open.
-OPEN_END = 0.002
+def threshold(low: np.ndarray, high: np.ndarray, odds: float) -> float:
+    """The place that parts scores best: the share of `low` below it less `odds` times the share of `high` below it is greatest; the
+    middle of the gap there."""
+    at = np.unique(np.r_[low, high])
+    if not len(low) or not len(high):
+        return -np.inf
+    gain = np.searchsorted(np.sort(low), at, "right") / len(low) - odds * np.searchsorted(np.sort(high), at, "right") / len(high)
+    k = int(gain.argmax())
+    return float((at[k] + at[k + 1]) / 2) if k + 1 < len(at) else float(at[k])
 
-#: Log likelihood below which a text's end is taken for a break.
-BREAK_AT = -5.8
 
 # ---------------------------------------------------------------- empty, copied, refused
 
@@ -318,7 +334,8 @@ def is_copy(query: str, answer: str) -> bool:
     return SequenceMatcher(None, x, y, False).ratio() >= COPY_RATIO
 
 
-#: Phrases that decline to answer, and courtesies that may stand beside them (fixed phrase lists by language).
+#: Phrases that decline to answer, and courtesies that may stand beside them (fixed phrase lists by language). They only label the
+#: responses that the classifier is fitted on; it decides alone, by all words of a response.
 REFUSALS = regex.compile(
     r"\b(?:can ?not|can't|could not|won't be able to|will not be able to|(?:am|'m) (?:not able|unable) to|unable to|not possible for me to|not in a position to)\b[^.!?]{0,25}\b(?:answer|respond|reply|assist|help|comment|address|provide|discuss)"
     r"|\b(?:have|need|must|would like) to decline\b|\bmust decline\b|\bi (?:respectfully )?decline\b|\brather not (?:comment|answer|say|discuss)|\bleave\b.*\bunanswered\b|\bbeyond what i (?:can|am able to) do\b"
@@ -341,8 +358,8 @@ _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|[\r\n]+")
 _SPEAKER = regex.compile(r"\b(?:ich|i|me|my|je|j'|m'|yo|mir)\b")
 
 
-def is_refusal(answer: str) -> bool:
-    """A sentence declines, and all others are courtesies."""
+def looks_refused(answer: str) -> bool:
+    """The weak label: a sentence declines, and all others are courtesies."""
     text = regex.sub(r"[*_#>`]+", " ", answer.replace("’", "'")).lower()
     declined = False
     for s in _SENTENCE.split(text):
@@ -360,28 +377,90 @@ def is_refusal(answer: str) -> bool:
     return declined
 
 
-def defect(languages: Languages, endings: Endings, query: str | None, answer: str | None) -> str | None:
+REFUSAL_BITS = 18
+_GRAM = regex.compile(r"\p{Han}|[\p{L}\p{M}]+|\p{N}+")
+
+
+def refusal_grams(answer: str) -> np.ndarray:
+    """Hashes of a response's distinct words and pairs of words."""
+    w = ["0" if t[0].isdigit() else t for t in _GRAM.findall(answer.replace("’", "'").lower())]
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g.encode()) & ((1 << REFUSAL_BITS) - 1) for g in (*w, *map(" ".join, zip(w, w[1:], strict=False)))), np.int64))
+
+
+class Refusals:
+    """The mean log likelihood ratio of a response's words and pairs of words among refusals and among all responses."""
+
+    def __init__(self, refused: np.ndarray, seen: np.ndarray, n_refused: int, n: int, refused_at: float = np.inf):
+        self.table = (np.log((refused + 0.1) / (n_refused + 1)) - np.log((seen - refused + 0.1) / (n - n_refused + 1))).astype(np.float32)
+        self.refused_at = refused_at
+
+    def score(self, answer: str) -> float:
+        g = refusal_grams(answer)
+        return float(self.table[g].mean()) if len(g) >= 4 else -np.inf
+
+
+def fit_responses(answers: DataFrame, key: str = "answer_id", text: str = "answer") -> tuple[Endings, Refusals]:
+    """Both models from counts over all responses: added up by hashed context inside each partition, then by Spark; at most as many rows
+    come back as there are counters, whatever the number of responses. The two thresholds are fitted on the HELD responses of least
+    key hash: BREAK between whole responses and the same ones cut short, REFUSED between weakly labelled ones and others."""
+    ends_n, words_n = 2 << END_BITS, 1 << REFUSAL_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, all_ = np.zeros(ends_n + words_n + 1, np.int64), np.zeros(ends_n + words_n + 1, np.int64)
+        for b in batches:
+            ends, seen = Counter(), Counter()
+            for t in b.column(0).to_pylist():
+                count_text(t, ends, seen)
+                g, refused = refusal_grams(t) + ends_n, looks_refused(t)
+                all_[g] += 1
+                all_[-1] += 1
+                if refused:
+                    some[g] += 1
+                    some[-1] += 1
+            for total, c in ((some, ends), (all_, seen)):
+                for k, v in c.items():
+                    for i in buckets(k):
+                        total[i] += v
+        at = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(some[at]), pa.array(all_[at])], names=["b", "e", "s"])
+
+    rows = answers.select(F.col(text).alias("t")).filter("t IS NOT NULL").mapInArrow(run, "b int, e bigint, s bigint").groupBy("b").agg(F.sum("e").alias("e"), F.sum("s").alias("s")).toArrow()
+    some, all_ = (np.zeros(ends_n + words_n + 1, np.float32) for _ in range(2))
+    at = rows.column(0).to_numpy()
+    some[at], all_[at] = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+    endings = Endings(some[:ends_n], all_[:ends_n])
+    refusals = Refusals(some[ends_n:-1].astype(float), all_[ends_n:-1].astype(float), int(some[-1]), int(all_[-1]))
+    held = answers.select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).filter("t IS NOT NULL").orderBy("h", "t").limit(HELD).collect()
+    whole = [(r.t, cut_short(r.t, r.h)) for r in held if line_kinds(r.t)]
+    broken = np.array([endings.likelihood(c) for _, c in whole if c and line_kinds(c)])
+    endings.break_at = threshold(broken, np.array([endings.likelihood(t) for t, _ in whole]), ODDS)
+    score = np.array([[refusals.score(r.t), looks_refused(r.t)] for r in held] or [[0.0, 0.0]])
+    if score[:, 1].any():
+        refusals.refused_at = -threshold(-score[score[:, 1] == 1, 0], -score[score[:, 1] == 0, 0], ODDS)
+    return endings, refusals
+
+
+def defect(languages: Languages, endings: Endings, refusals: Refusals, query: str | None, answer: str | None) -> str | None:
     if is_empty(answer):
         return "empty"
     if query and is_copy(query, answer):
         return "copied_question"
-    if is_refusal(answer):
+    if refusals.score(answer) > refusals.refused_at:
         return "refusal"
     if query and other_language(languages, query, answer):
         return "other_language"
-    if endings.likelihood(answer) < BREAK_AT:
+    if endings.likelihood(answer) < endings.break_at:
         return "truncated"
     return None
 
 
 def flag(answers: DataFrame, documents: DataFrame, key: str = "answer_id", query: str = "query", answer: str = "answer") -> DataFrame:
     """answer_id, defect (null for a sound pair) of every row."""
-    models = answers.sparkSession.sparkContext.broadcast((fit_languages(documents), fit_endings(answers, answer)))  # fixed-size tables
+    models = answers.sparkSession.sparkContext.broadcast((fit_languages(documents), *fit_responses(answers, key, answer)))  # fixed-size tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, endings = models.value
         for b in batches:
-            out = [defect(languages, endings, q, a) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [defect(*models.value, q, a) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["answer_id", "defect"])
 
     return answers.select(F.col(key).cast("bigint").alias("answer_id"), F.col(query).alias("q"), F.col(answer).alias("a")).mapInArrow(run, "answer_id bigint, defect string")

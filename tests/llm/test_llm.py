@@ -25,7 +25,7 @@ def models(spark):
         (5, "What does the mill do?", "I'm sorry, but I can't help with this question. Please try a different question."), (6, "What does the mill do?", fr_answer := "Le moulin écrase le grain et la rivière fait tourner la roue. Au printemps, le marché ouvre."),
         (7, "What does the mill do?", "The mill grinds the grain, and the river turns the"), (8, "Que fait le vieux moulin près de la rivière ?", fr_answer), (9, "What does the mill do?", "Growers decline to use the mill. The river turns the wheel of the market."), (10, None, fr_answer),
         (11, "What does the mill do?", "The mill grinds the grain.\n\n```\ngrain = load(8\nfor"), (12, "", "No."),
-    ] + [(100 + i, "q", ok) for i in range(60)]
+    ] + [(100 + i, "q", ok if i % 2 else ok + "\n\n```\ngrain = load(8)\nfor x in grain:\n    turn(x)\n```") for i in range(60)]
     return docs, spark.createDataFrame(rows, "answer_id bigint, query string, answer string")
 
 
@@ -36,14 +36,23 @@ def test_pairs(spark):
     assert pairs.found(answers.limit(0), docs).count() == 0
 
 
+def test_refusals_in_other_words(spark):
+    """The phrases only label; all words of a response decide."""
+    sorry = ["I'm sorry, but I can't help with this question. Please try a different question.", "I am unable to answer this question. Please ask a specialist."]
+    sound = ["The mill grinds the grain and the river turns the wheel in spring.", "Growers keep the grain dry; the market opens in the morning."]
+    rows = [(i, "q", (sorry if i % 5 == 0 else sound)[i % 2]) for i in range(200)] + [(900, "q", "I'm sorry, but with this question I can't. Please try a different specialist."), (901, "q", sound[0] + " I can't help with this question. " + sound[1])]
+    got = {r.answer_id: r.defect for r in pairs.found(spark.createDataFrame(rows, "answer_id bigint, query string, answer string"), models(spark)[0]).collect()}
+    assert got[900] == "refusal" and 901 not in got and sum(v == "refusal" for v in got.values()) == 41
+
+
 @pytest.mark.parametrize("text", ["Auf eine Antwort für diese Frage muss ich verzichten.", "SORRY, IT IS NOT POSSIBLE FOR ME TO ADDRESS THAT REQUEST.", "Lamentablemente, no puedo responder a esta pregunta.", "Désolé, je ne peux pas répondre à cette question."])
 def test_refusals(text):
-    assert pairs.is_refusal(text)
+    assert pairs.looks_refused(text)
 
 
 @pytest.mark.parametrize("text", ["Leider können die Felder hier nicht helfen.", "I can't confirm the year, yet the mill stood by 1900.", "No answer fits every field. The mill stands.", "The author was unable to explain the mill."])
 def test_no_refusals(text):
-    assert not pairs.is_refusal(text)
+    assert not pairs.looks_refused(text)
 
 
 # ---------------------------------------------------------------- p4
