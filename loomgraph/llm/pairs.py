@@ -402,7 +402,7 @@ class Refusals:
 def fit_responses(answers: DataFrame, key: str = "answer_id", text: str = "answer") -> tuple[Endings, Refusals]:
     """Both models from counts over all responses: added up by hashed context inside each partition, then by Spark; at most as many rows
     come back as there are counters, whatever the number of responses. The two thresholds are fitted on the HELD responses of least
-    key hash: BREAK between whole responses and the same ones cut short, REFUSED between weakly labelled ones and others."""
+    key hash: breaks between whole responses and the same ones cut short, refusals between weakly labelled ones and others."""
     ends_n, words_n = 2 << END_BITS, 1 << REFUSAL_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +436,9 @@ def fit_responses(answers: DataFrame, key: str = "answer_id", text: str = "answe
     endings.break_at = threshold(broken, np.array([endings.likelihood(t) for t, _ in whole]), ODDS)
     score = np.array([[refusals.score(r.t), looks_refused(r.t)] for r in held] or [[0.0, 0.0]])
     if score[:, 1].any():
-        refusals.refused_at = -threshold(-score[score[:, 1] == 1, 0], -score[score[:, 1] == 0, 0], ODDS)
+        yes, no = score[score[:, 1] == 1, 0], score[(score[:, 1] == 0) & np.isfinite(score[:, 0]), 0]
+        # Half-way between the bulks of both, so that a few refusals that the phrases miss don't push it up.
+        refusals.refused_at = float((np.quantile(yes, 0.01) + np.quantile(no, 0.99)) / 2) if len(no) else float(yes.min())
     return endings, refusals
 
 
