@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,12 +116,17 @@ def csv_row(*cells: Column) -> Column:
 
 
 def entity_text(name: Column, kind: Column, description: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("Entity: "), name), F.concat(F.lit("Type: "), F.coalesce(kind, F.lit("UNKNOWN"))), F.concat(F.lit("Description: "), F.coalesce(description, F.lit(""))))
+    return F.concat_ws("\n", F.coalesce(name, F.lit("")), F.concat(F.lit("type: "), F.coalesce(kind, F.lit("UNKNOWN"))), F.concat(F.lit("description: "), F.coalesce(description, F.lit(""))))
 
 
 def edge_text(src: Column, src_desc: Column, tgt: Column, tgt_desc: Column, desc: Column) -> Column:
-    blank = F.lit("")
-    return F.concat_ws("\n", F.concat(F.lit("Source: "), src, F.lit(": "), F.coalesce(src_desc, blank)), F.concat(F.lit("Target: "), tgt, F.lit(": "), F.coalesce(tgt_desc, blank)), F.concat(F.lit("Relation: "), F.coalesce(desc, blank)))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat_ws("\n", F.concat(F.lit("source: "), src), blank(src_desc), F.concat(F.lit("relation: "), blank(desc)), F.concat(F.lit("target: "), tgt), blank(tgt_desc))
+
+
+def decode_tokens(arr: Column) -> Column:
+    """White-space words back to text; the inverse of `tokens` up to white space."""
+    return F.array_join(arr, " ")
 
 
 def truncate_tokens(c: Column, most: int) -> Column:
@@ -149,11 +158,45 @@ def retrieval_seconds(c: Column) -> Column:
 
 
 def report_markdown(title: Column, summary: Column, findings: Column) -> Column:
-    """findings: array of struct<summary, explanation>."""
+    """findings: array of struct<summary, explanation>; for plain strings see plain_findings."""
     body = F.transform(findings, lambda f: F.concat(F.lit("## "), F.coalesce(f["summary"], F.lit("")), F.lit("\n\n"), F.coalesce(f["explanation"], F.lit(""))))
     return F.concat(F.lit("# "), title, F.lit("\n\n"), summary, F.lit("\n\n"), F.array_join(body, "\n\n"))
 
 
+def plain_findings(findings: Column) -> Column:
+    """Findings that are plain strings as struct<summary, explanation>, for report_markdown."""
+    return F.transform(findings, lambda f: F.struct(f.alias("summary"), F.lit("").alias("explanation")))
+
+
+def judge_object(c: Column) -> Column:
+    """A judge's verdict as JSON text: the whole text if it is JSON, else what lies between its first and last brace, else null."""
+    inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    valid = lambda x: F.try_parse_json(x).isNotNull()
+    return F.when(valid(c), c).when(valid(inner), inner)
+
+
+def report_error(c: Column) -> Column:
+    """Why a community report's JSON can't be used (null if it can); findings may be a list or a string that holds one."""
+    v = F.try_parse_json(c)
+    field = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    kind = lambda x: F.schema_of_variant(x)
+    found = F.try_variant_get(v, "$.findings", "variant")
+    inner = F.try_parse_json(field("findings"))
+    return (
+        F.when(v.isNull() | ~kind(v).startswith("OBJECT") | (kind(v) == "OBJECT<>"), "unable to parse community report JSON")
+        .when(F.coalesce(field("title"), F.lit("")) == "", "community report missing title")
+        .when(F.coalesce(field("summary"), F.lit("")) == "", "community report missing summary")
+        .when((kind(found) == "STRING") & inner.isNull(), "community report findings is not a JSON list")
+        .when(~F.coalesce(F.when(kind(found) == "STRING", kind(inner)).otherwise(kind(found)).startswith("ARRAY"), F.lit(False)), "community report findings is not a list")
+    )
+
+
+def report_findings(c: Column) -> Column:
+    """The findings of a usable report as array<struct<summary, explanation>>."""
+    one = "array<struct<summary: string, explanation: string>>"
+    return F.when(report_error(c).isNull(), F.coalesce(F.from_json(F.get_json_object(c, "$.findings"), one), F.array().cast(one)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0; both sides in double."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -163,36 +206,40 @@ def cosine(a: Column, b: Column) -> Column:
 
 # ------------------------------------------------ sequential text functions, in Arrow batches
 
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def word_bag(text: str) -> set[str]:
+    """What snippet_tokens gives, for one text."""
+    return {w for w in re.findall("[a-z0-9]+", text.lower()) if len(w) > 1} - set(SNIPPET_STOPWORDS)
+
 
 def best_window(content: str, query: str, chars: int) -> str:
-    """The run of whole sentences of at most `chars` characters that shares most with the query: greatest overlap, then
-    greatest density, then shortest, then earliest."""
-    import re
-
-    stop = set(SNIPPET_STOPWORDS)
-    bag = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 1 and w not in stop}
-    wanted = bag(query)
-    if not wanted:
-        return content[:chars].rstrip()
-    if len(content) <= chars:
+    """The run of whole sentences of at most `chars` characters that shares most with the query. Of all runs that can't be longer to
+    the left: greatest number of shared words, then greatest share of shared words, then shortest, then earliest. Sentences over the
+    limit are cut into overlapping halves. Word counts of a run are kept while its ends move."""
+    wanted = word_bag(query)
+    if len(content) <= chars and wanted:
         return content
-    half = max(1, chars // 2)
-    units: list[str] = []
-    for s in filter(None, (p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", content))):
-        units += [s] if len(s) <= chars else [s[i : i + chars] for i in range(0, len(s), half)]
-    best, top, lo = "", None, 0
-    size = 0  # characters of units[lo:hi] with one separator each
-    for hi, u in enumerate(units):
-        while lo < hi and size + len(u) + 1 > chars:
-            size -= len(units[lo]) + 1
+    step = max(1, chars // 2)
+    units = [x for s in _SENTENCES.split(content) if (t := s.strip()) for x in ([t] if len(t) <= chars else [t[i : i + chars] for i in range(0, len(t), step)])]
+    if not wanted or not units:
+        return content[:chars].rstrip()
+    bags = [word_bag(u) for u in units]
+    ends = list(itertools.accumulate(len(u) + 1 for u in units))  # each unit with a separator
+    held: Counter[str] = Counter()
+    ranks, lo = [], 0
+    for hi, bag in enumerate(bags):
+        held.update(bag)
+        first = min(hi, bisect.bisect_left(ends, ends[hi] - chars, lo) + 1) if ends[hi] - (ends[lo - 1] if lo else 0) > chars else lo
+        while lo < first:
+            held.subtract(bags[lo])
             lo += 1
-        size += len(u) + 1
-        text = " ".join(units[lo : hi + 1]).strip()
-        have = bag(text)
-        rank = (len(wanted & have), len(wanted & have) / max(1, len(have)), -len(text))
-        if top is None or rank > top:
-            best, top = text, rank
-    return (best or content)[:chars].rstrip()
+        have = {w for w, n in held.items() if n > 0}
+        shared = len(have & wanted)
+        ranks.append((shared, shared / max(1, len(have)), -(ends[hi] - (ends[lo - 1] if lo else 0)), -hi, lo))
+    *_, last, first = max(ranks)
+    return " ".join(units[first : 1 - last]).strip()[:chars].rstrip()
 
 
 def query_snippet(content: Column, query: Column, chars: int) -> Column:
@@ -203,6 +250,15 @@ def query_snippet(content: Column, query: Column, chars: int) -> Column:
     return run(content, query)
 
 
+def text_unit_content(content: Column, query: Column | None = None, chars: int | None = None, by_query: bool = False) -> Column:
+    """A text unit as it stands in a context: whole, or cut to `chars` characters, at the start or where it shares most with the query."""
+    if not chars or chars <= 0:
+        return content
+    if not by_query or query is None:
+        return prefix_snippet(content, chars)
+    return F.when(F.coalesce(F.trim(query), F.lit("")) == "", prefix_snippet(content, chars)).otherwise(query_snippet(content, query, chars))
+
+
 def first_object(text: str | None) -> str | None:
     """The first complete {...} of a text, as JSON text, or null where it doesn't parse."""
     if not text:
@@ -223,25 +279,47 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-def lenient_pairs(text: str | None) -> str | None:
-    """key: value pairs of a text that is no JSON, as a JSON object of strings, numbers, booleans and null."""
-    import re
-
-    out = {}
-    for m in re.finditer(r'"?(\w+)"?\s*:\s*(?:"((?:[^"\\]|\\.)*)"|([^,{}\[\]\s]+))', text or ""):
-        key, quoted, bare = m.groups()
-        if quoted is not None:
-            out[key] = quoted
+_PAIR = re.compile(r'"?(\w+)"?\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(\{)|([^,{}\[\]\s]+))')
+
+
+def _closing(text: str, at: int) -> int:
+    """The place of the brace that closes the one at `at`, or the text's end."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(text, at):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return m.start()
+    return len(text)
+
+
+def _scalar(bare: str):
+    low = bare.lower()
+    if low in ("true", "false", "null"):
+        return {"true": True, "false": False, "null": None}[low]
+    for kind in (int, float):
+        try:
+            return kind(bare)
+        except ValueError:
+            continue
+    return bare
+
+
+def _pairs(text: str) -> dict:
+    out, at = {}, 0
+    while m := _PAIR.search(text, at):
+        key, quoted, opened, bare = m.groups()
+        at = m.end()
+        if opened:
+            end = _closing(text, at - 1)
+            out[key], at = _pairs(text[at:end]), end
         else:
-            low = bare.lower()
-            out[key] = {"true": True, "false": False, "null": None}.get(low, bare)
-            if low not in ("true", "false", "null"):
-                for kind in (int, float):
-                    try:
-                        out[key] = kind(bare)
-                        break
-                    except ValueError:
-                        continue
+            out[key] = quoted if quoted is not None else _scalar(bare)
+    return out
+
+
+def lenient_pairs(text: str | None) -> str | None:
+    """key: value pairs of a text that is no JSON, as a JSON object of strings, numbers, booleans, null and inner objects."""
+    out = _pairs(text or "")
     return json.dumps(out) if out else None
 
 

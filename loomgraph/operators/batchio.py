@@ -54,10 +54,16 @@ def validate(requests: DataFrame, most_rows: int = 50_000, most_bytes: int = 200
     return {"rows": r.n, "bytes": r.bytes or 0}
 
 
-def with_metadata(parsed: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left join on custom_id: outputs without metadata are kept with a note."""
+def with_metadata(parsed: DataFrame, metadata: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """Left join on custom_id: outputs without metadata are kept with a note, and with the given defaults in place of nulls."""
     m = metadata.withColumn("__known", F.lit(True))
-    return parsed.join(m, "custom_id", "left").withColumn("note", F.when(F.col("__known").isNull(), "no metadata")).drop("__known")
+    out = parsed.join(m, "custom_id", "left").withColumn("note", F.when(F.col("__known").isNull(), "no metadata")).drop("__known")
+    return out.fillna(defaults) if defaults else out
+
+
+def retryable(df: DataFrame, ident: str = "custom_id") -> DataFrame:
+    """The identified rows that failed: with an error, or with a status of 400 or more."""
+    return df.filter(F.col(ident).isNotNull() & (F.col("error").isNotNull() | (F.col("response.status_code") >= 400)))
 
 
 def cache_key(model: Column, messages: Column) -> Column:

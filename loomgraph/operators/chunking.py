@@ -32,10 +32,14 @@ def word_windows(df: DataFrame, text: str, keep: list[str], size: int = 1200, ov
     return starts.select(*keep, "chunk_order_index", F.least(F.lit(size), F.size("w") - F.col("at")).cast("bigint").alias("tokens"), F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("content"))
 
 
-def chunks(docs: DataFrame, key: str = "doc_key", text: str = "content", size: int = 1200, overlap: int = 100) -> DataFrame:
-    """chunk_id, full_doc_id, chunk_order_index, tokens, content. Equal contents collapse, the last one wins."""
-    w = word_windows(docs, text, [key], size, overlap).withColumn("chunk_id", prefixed_id("chunk", F.col("content")))
-    last = w.groupBy("chunk_id").agg(F.max_by(F.struct(F.col(key).alias("full_doc_id"), "chunk_order_index", "tokens", "content"), F.struct(key, "chunk_order_index")).alias("c"))
+def chunks(docs: DataFrame, key: str = "doc_key", text: str = "content", size: int = 1200, overlap: int = 100, order: str | None = None, chunker=None) -> DataFrame:
+    """chunk_id, full_doc_id, chunk_order_index, tokens, content. Equal contents collapse, the last one by the documents' order wins (by
+    default first_id where there is one, else the key). chunker: documents, text, key to rows of key, chunk_order_index, tokens, content."""
+    order = order or ("first_id" if "first_id" in docs.columns else key)
+    own = docs.select(key, text, F.col(order).alias("__order"))
+    w = chunker(own, text, [key, "__order"]) if chunker else word_windows(own, text, [key, "__order"], size, overlap)
+    w = w.withColumn("chunk_id", prefixed_id("chunk", F.col("content")))
+    last = w.groupBy("chunk_id").agg(F.max_by(F.struct(F.col(key).alias("full_doc_id"), "chunk_order_index", "tokens", "content"), F.struct("__order", key, "chunk_order_index")).alias("c"))
     return last.select("chunk_id", "c.*")
 
 

@@ -41,12 +41,19 @@ def regex_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.posexplode(fr.entity_names(F.col(text))).alias("pos", "name"))
 
 
-def cooccurrence(mentions: DataFrame, key: str) -> DataFrame:
-    """src < tgt, weight: the number of texts in which both names stand. The pairs of one text come from its own bounded list
-    of names, inside the row, so no group is shuffled to make pairs."""
-    lists = mentions.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("n"))
-    pairs = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.greatest(F.size("n") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("src"), y.alias("tgt")))))
-    return lists.filter(F.size("n") > 1).select(F.explode(pairs).alias("e")).groupBy("e.src", "e.tgt").agg(F.count("*").cast("double").alias("weight"))
+def cooccurrence(mentions: DataFrame, key: str, block: int = 256) -> DataFrame:
+    """src < tgt, weight: the number of texts in which both names stand. A text's names are cut into blocks by hash, as many as its number of
+    names asks for, and every two blocks meet in a row of their own: no row holds more than about 2 x `block` names, however
+    long the text."""
+    m = mentions.select(key, "name").filter(F.col(key).isNotNull()).distinct()
+    size = m.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    own = m.join(size, key).withColumn("own", F.pmod(F.xxhash64("name"), "parts").cast("int"))
+    cells = own.select(key, "name", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    lists = cells.groupBy(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.array_sort(F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("name")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("own") > F.col("other"), F.col("name")))).alias("b"))
+    inner = F.flatten(F.transform("a", lambda x, k: F.transform(F.slice("a", k + 2, F.greatest(F.size("a") - k - 1, F.lit(0))), lambda y: F.struct(x.alias("src"), y.alias("tgt")))))
+    across = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("tgt")))))
+    pairs = lists.select(F.explode(F.when(F.col("i") == F.col("j"), inner).otherwise(across)).alias("e"))
+    return pairs.groupBy("e.src", "e.tgt").agg(F.count("*").cast("double").alias("weight"))
 
 
 def coverage(df: DataFrame, key: str, a: str, b: str) -> DataFrame:

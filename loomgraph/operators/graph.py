@@ -4,10 +4,13 @@ Edges are stored once with src <= tgt; `both_ways` gives the symmetric view."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.records import cosine
 from loomgraph.session import cut
 
 
@@ -24,6 +27,35 @@ def merge_nodes(mentions: DataFrame, existing: DataFrame | None = None) -> DataF
     return rest.join(kind, "entity_name")
 
 
+def merge_nodes_in_order(mentions: DataFrame) -> DataFrame:
+    """entity_name, entity_type (most frequent, then first seen), description and source_id: distinct values joined in order of first sight."""
+    kinds = mentions.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"), F.min("pos").alias("first")).groupBy("entity_name").agg(F.max_by("entity_type", F.struct("n", -F.col("first"))).alias("entity_type"))
+
+    def parts(c: str) -> DataFrame:  # one row a distinct value, so that repeats are never collected
+        x = mentions.filter(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "").groupBy("entity_name", F.col(c).cast("string").alias("v")).agg(F.min("pos").alias("first"))
+        return x.groupBy("entity_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "v"))), lambda p: p["v"]), "<SEP>").alias(c))
+
+    return kinds.join(parts("description"), "entity_name", "left").join(parts("source_id"), "entity_name", "left")
+
+
+def identity(edges: DataFrame) -> DataFrame:
+    """One row: edges, identity (the same for equal edge sets, whatever their order): sums of two hashes of each edge, hashed."""
+    e = edges.select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).distinct()
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(F.concat_ws("\x1f", "a", "b")), at, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    return e.agg(F.count("*").alias("edges"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), part(1), part(13)), 256).alias("identity"))
+
+
+def below(subs: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """root_level, root, level, community: the communities up to `depth` levels below each root (itself included). subs: see sub_communities;
+    roots: level, community."""
+    front = roots.select(F.col("level").alias("root_level"), F.col("community").alias("root"), "level", "community").distinct()
+    out = front
+    for _ in range(depth):
+        front = front.join(subs.select("level", F.col("parent").alias("community"), "child"), ["level", "community"]).select("root_level", "root", (F.col("level") + 1).alias("level"), F.col("child").alias("community")).distinct()
+        out = out.unionByName(front)
+    return out.distinct()
+
+
 def merge_edges(mentions: DataFrame, zero_is_one: bool = False) -> DataFrame:
     """src <= tgt, weight (sum), ord (least), description (sorted distinct, joined), source_ids."""
     w = F.coalesce(F.nullif(F.col("weight"), F.lit(0.0)), F.lit(1.0)) if zero_is_one else F.coalesce("weight", F.lit(0.0))
@@ -69,32 +101,59 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "tgt"), "tgt", "left_semi")
 
 
-def edge_costs(edges: DataFrame, vectors: DataFrame, query: DataFrame, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05) -> DataFrame:
+def edge_costs(edges: DataFrame, vectors: DataFrame, query: DataFrame, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05, block: int = 64) -> DataFrame:
     """query_id, src, tgt, cost = alpha (1 - cos) + beta hub + gamma / (1 + weight), hub = edge degree / greatest edge degree.
 
-    edges: src, tgt, weight; vectors: src, tgt, vec; query: query_id, qvec. A stated set of queries against all edges."""
-    e = edge_degrees(edges)
-    top = e.agg(F.max("edge_degree").alias("top"))
-    e = e.join(F.broadcast(top)).join(vectors, ["src", "tgt"]).join(F.broadcast(query))  # one row; the stated queries
-    cost = alpha * (1 - cosine(F.col("vec"), F.col("qvec"))) + beta * F.col("edge_degree") / F.col("top") + gamma / (1 + F.col("weight"))
-    return e.select("query_id", "src", "tgt", cost.alias("cost"))
-
-
-def candidate_costs(candidates: DataFrame, edges: DataFrame, vectors: DataFrame, query: DataFrame, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05) -> DataFrame:
-    """edge_costs for the given (query_id, src, tgt) only; hubs are still measured against all edges."""
-    e = edge_degrees(edges)
-    top = e.agg(F.max("edge_degree").alias("top"))
-    x = candidates.select("query_id", "src", "tgt").join(e, ["src", "tgt"]).join(vectors, ["src", "tgt"]).join(query, "query_id").join(F.broadcast(top))  # one row
-    cost = alpha * (1 - cosine(F.col("vec"), F.col("qvec"))) + beta * F.col("edge_degree") / F.col("top") + gamma / (1 + F.col("weight"))
-    return x.select("query_id", "src", "tgt", cost.alias("cost"))
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    edges: src, tgt, weight; vectors: src, tgt, vec; query: query_id, qvec. A stated set of queries against all edges, in blocks."""
+    out, ids = None, query.select("query_id", "qvec").orderBy("query_id").collect()
+    kind = query.schema["query_id"].dataType.simpleString()
+    spark = edges.sparkSession
+    e = edges.select("src", "tgt").distinct()
+    for lo in range(0, max(len(ids), 1), block):
+        part = [(i, r.query_id, [float(x) for x in r.qvec]) for i, r in enumerate(ids[lo : lo + block])]
+        q = spark.createDataFrame(part, f"q int, query_id {kind}, qvec array<double>")
+        c = block_costs(e, edges, vectors, q, 1e-9, alpha, beta, gamma).select("src", "tgt", F.posexplode("costs").alias("q", "cost")) if part else e.select("src", "tgt", F.lit(0).alias("q"), F.lit(0).alias("cost")).limit(0)
+        one = c.join(F.broadcast(q.select("q", "query_id")), "q").select("query_id", "src", "tgt", (F.col("cost") * 1e-9).alias("cost"))  # at most `block` rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def block_costs(edges: DataFrame, weights: DataFrame, vectors: DataFrame, queries: DataFrame, unit: float, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05) -> DataFrame:
+    """edges with costs: the array, by the query's number q, of edge_costs in whole numbers of `unit`. queries: q, qvec, a block of some
+    dozens; each Arrow batch of edge vectors is one matrix product. An edge without a vector costs 1."""
+    rows = sorted(queries.select("q", "qvec").collect())
+    mat = np.array([r.qvec for r in rows], np.float64)
+    mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
+    e = edge_degrees(weights.select("src", "tgt", "weight"))
+    top = e.agg(F.max("edge_degree")).first()[0] or 1
+    x = edges.join(e.select("src", "tgt", (beta * F.col("edge_degree") / top + gamma / (1 + F.col("weight"))).alias("own")), ["src", "tgt"], "left").join(vectors.select("src", "tgt", F.col("vec").cast("array<double>").alias("vec")), ["src", "tgt"], "left")
+    names = [c for c in edges.columns if c not in ("src", "tgt")]
+    x = x.select("src", "tgt", *names, "own", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, vec = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            known = np.asarray(own.is_valid()) & np.asarray(vec.is_valid())
+            cost = np.ones((b.num_rows, len(mat)))
+            if known.any():
+                v = np.asarray(vec.filter(pa.array(known)).flatten(), np.float64).reshape(int(known.sum()), -1)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                cost[known] = alpha * (1 - v @ mat.T) + np.asarray(own.filter(pa.array(known)))[:, None]
+            out = pa.array(list(np.minimum(np.rint(cost / unit), 2**31 - 1).astype(np.int32)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], out], names=[*b.schema.names[:-2], "costs"])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.drop("own", "vec").schema)
+    return x.mapInArrow(run, f"{kept}, costs array<int>")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node). Each round spreads the least label to neighbours and then jumps to that label's own
     label, so long paths need a logarithmic number of rounds."""
     sym = cut(both_ways(edges).select("u", "v").distinct())
     lab = cut(sym.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).withColumnRenamed("u", "node"))
-    for _ in range(most_rounds):
+    while True:
         near = sym.join(lab.select(F.col("node").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m")).withColumnRenamed("u", "node")
         step = lab.join(near, "node").select("node", "l", F.least("l", "m").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,17 +42,39 @@ def preflight(chunks: DataFrame, stages: DataFrame, context: int) -> DataFrame:
     return x.select("stage", (F.col("overhead_tokens") + F.col("top")).alias("prompt_tokens"), "output_cap", (F.col("overhead_tokens") + F.col("top") + F.col("output_cap") <= context - PREFLIGHT_MARGIN).alias("fits"))
 
 
-def run_requests(requests: DataFrame, call: Callable[[str], str]) -> DataFrame:
-    """custom_id, ok, text: one call a request; an exception gives a row with its message instead of failing the run."""
+def run_requests(requests: DataFrame, call: Callable[[str], str], in_flight: int = 1) -> DataFrame:
+    """custom_id, ok, text: one call a request, at most `in_flight` at a time in each task; an exception gives a row with its message
+    instead of failing the run."""
+
+    def one(i: str, body: str) -> tuple[str, bool, str]:
+        try:
+            return i, True, call(body)
+        except Exception as e:  # noqa: BLE001
+            return i, False, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for i, body in zip(p["custom_id"], p["body"], strict=True):
-                try:
-                    rows.append((i, True, call(body)))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((i, False, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["custom_id", "ok", "text"])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for p in batches:
+                yield pd.DataFrame(pool.map(one, p["custom_id"], p["body"]), columns=["custom_id", "ok", "text"])
 
     return requests.select("custom_id", "body").mapInPandas(run, "custom_id string, ok boolean, text string")
+
+
+#: Named sets of retrieval modes for a benchmark (fixed names; see retrieval.MODES).
+VARIANTS = {
+    "baseline": ("naive", "hi"),
+    "bridge": ("hi", "hi_weighted", "hi_minmax", "hi_minmax_budgeted", "hi_mcts"),
+    "rerank": ("hi_rerank", "hi_rerank_weighted"),
+}
+
+
+def variants(names: list[str]) -> list[str]:
+    """Presets and single modes to modes, each once, in order; an unknown name raises."""
+    from loomgraph.operators.retrieval import MODES
+
+    out: list[str] = []
+    for n in names:
+        if n not in VARIANTS and n not in MODES and n != "all":
+            raise ValueError(f"unknown variant {n!r}")
+        out += MODES if n == "all" else VARIANTS.get(n, (n,))
+    return list(dict.fromkeys(out))

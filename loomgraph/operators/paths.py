@@ -1,8 +1,8 @@
 """Bridge paths between the key entities of a query.
 
-The search itself is sequential, so a query's graph is first narrowed by joins to the neighbourhood of its key entities; then one
-grouped Arrow function a query finds all its segments. `relaxed_costs` gives shortest distances by joins alone, for graphs whose
-neighbourhoods don't fit in a task."""
+`search` finds the paths of all segments of many queries at once, over the whole graph, by joins: labels spread from both ends and are
+given up where they can't be better any more. `Net` is the same on one small graph, for tests; the tree search, which is
+sequential, runs on it inside a task, over a candidate graph that joins have pruned. `relaxed_costs` gives distances to all nodes."""
 
 from __future__ import annotations
 
@@ -11,15 +11,19 @@ import itertools
 import math
 import random
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import both_ways, hops
-from loomgraph.session import cut
+from pyspark.sql.window import Window
+
+from loomgraph.operators.graph import both_ways
+from loomgraph.session import cut, written
 
 
 @dataclass(frozen=True)
@@ -133,7 +137,6 @@ class TreeSearch:
 
     def __init__(self, net: Net, s: str, t: str, o: PathOptions):
         self.full, self.s, self.t, self.o = net, s, t, o
-        self.rng = random.Random(f"{s}|{t}|{len(net.near)}")
 
     def candidate(self) -> tuple[Net | None, int, bool, int]:
         """The cheapest neighbours within the least radius around both ends that connects them."""
@@ -168,6 +171,7 @@ class TreeSearch:
         info = {"candidate_hops": radius, "radius_expanded": grown, "candidate_nodes": size}
         if net is None:
             return [], "mcts_no_path", info | {"reason": "candidate_subgraph_disconnected"}
+        self.rng = random.Random(f"{self.s}|{self.t}|{size}")
         far = net.ball(self.t, len(net.near))  # once a segment, not once an expansion
         plain = net.cheapest(self.s, self.t)
         usable = bool(plain) and len(plain) - 1 <= o.max_path_edges
@@ -263,36 +267,266 @@ def through(net: Net, keys: list[str], o: PathOptions) -> tuple[list[str], list[
     return path, out
 
 
+# ---------------------------------------------------------------- searches by joins
+
+#: Costs are whole numbers of this part of one, so that sums don't depend on their order.
+UNIT = 1e-6
+#: Queries whose costs stand side by side in one array; more are answered in blocks.
+BLOCK = 64
+#: How far beyond the cheapest open label a search for bottlenecks expands in one round, in cost units.
+SLACK = 20_000
+LABEL = "struct<cost: bigint, hops: int, path: array<string>>"
+
+
+def segments(keys: DataFrame) -> DataFrame:
+    """query_id, seg, source, target: consecutive key entities, each entity once and blank ones left out."""
+    k = keys.select(F.col("query_id").cast("string").alias("query_id"), F.array_distinct(F.filter("keys", lambda x: F.coalesce(x, F.lit("")) != "")).alias("k")).filter(F.size("k") > 1)
+    return k.select("query_id", F.posexplode(F.arrays_zip(F.slice("k", F.lit(1), F.size("k") - 1).alias("s"), F.slice("k", F.lit(2), F.size("k") - 1).alias("t"))).alias("seg", "p")).select("query_id", "seg", F.col("p.s").alias("source"), F.col("p.t").alias("target"))
+
+
+def _lowest(sym: DataFrame) -> DataFrame:
+    """u, low: for each query of the block the cost of the node's cheapest edge. sym is sorted by u inside its partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a node in two batches gives two rows, of which the least counts
+            if b.num_rows:
+                u = b.column(0).to_numpy(zero_copy_only=False)
+                c = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+                at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                low = np.minimum.reduceat(c, at)
+                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(list(low), pa.list_(pa.int32()))], names=["u", "low"])
+
+    rows = sym.select("u", "costs").mapInArrow(run, "u string, low array<int>")
+    return rows.groupBy("u").agg(F.reduce(F.slice(F.collect_list("low"), 2, 1 << 30), F.element_at(F.collect_list("low"), 1), lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q))).alias("low"))
+
+
+def search(sym: DataFrame, low: DataFrame | None, segs: DataFrame, bottleneck: bool = False) -> DataFrame:
+    """sid, best (cost, hops, path): the path of least cost between the ends of each segment, then of fewest edges, then first in
+    order of its nodes; no row where there is none. The whole graph is searched.
+
+    sym: u, v[, costs (array by the query's number)], best persisted by u; without low every edge costs 1. segs: sid, q (the query's
+    number), source, target[, cap (edges above it don't count)]. With bottleneck a path costs as much as its dearest edge, and only
+    the cost is found.
+
+    Labels spread from both ends, in each round from the end with fewer open labels. A label is given up if what it costs, its node's cheapest
+    edge and the cheapest open label of the other end can't be better than the best path known: a better path would have an
+    open label on both sides with at least that edge between them."""
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("source").alias("node")), F.struct(F.lit(1).alias("side"), F.col("target").alias("node")))
+    least = lambda c: F.array().cast("array<string>") if bottleneck else F.array(c)
+    first = segs.select("sid", F.explode(ends).alias("e")).select("sid", "e.side", "e.node", F.struct(F.lit(0).cast("bigint").alias("cost"), F.lit(0).alias("hops"), least(F.col("e.node")).alias("path")).alias("lab"))
+    lab = written(first.withColumn("open", F.lit(True)).withColumn("new", F.lit(True)), "labels")
+    best = None
+    own = segs.select("sid", "q", (F.col("cap") if "cap" in segs.columns else F.lit(None).cast("bigint")).alias("cap"))
+    add = (lambda a, b: F.greatest(a, b)) if bottleneck else (lambda a, b: a + b)
+    while True:
+        # paths through nodes that both ends have reached, one of them in the last round
+        other = lab.select("sid", "node", F.col("side").alias("s2"), F.col("lab").alias("l2"), F.col("new").alias("n2"))
+        met = lab.filter("side = 0").join(other.filter("s2 = 1"), ["sid", "node"]).filter("new OR n2")
+        whole = F.struct(add(F.col("lab.cost"), F.col("l2.cost")).alias("cost"), (F.col("lab.hops") + F.col("l2.hops")).alias("hops"), (F.array().cast("array<string>") if bottleneck else F.concat("lab.path", F.slice("l2.path", F.lit(2), F.greatest(F.size("l2.path") - 1, F.lit(0))))).alias("path"))
+        met = met.select("sid", whole.alias("best"))
+        best = written((met if best is None else best.unionByName(met)).groupBy("sid").agg(F.min("best").alias("best")), "best")
+        side = lambda k, f: f(F.when(F.col("side") == k, F.col("lab.cost")))
+        turn = lab.filter("open").groupBy("sid").agg(side(0, F.count).alias("n0"), side(1, F.count).alias("n1"), side(0, F.min).alias("m0"), side(1, F.min).alias("m1")).filter("n0 > 0 AND n1 > 0")
+        turn = turn.select("sid", (F.col("n1") < F.col("n0")).cast("int").alias("turn"), F.when(F.col("n1") < F.col("n0"), F.col("m1")).otherwise(F.col("m0")).alias("mine"), F.when(F.col("n1") < F.col("n0"), F.col("m0")).otherwise(F.col("m1")).alias("theirs"))
+        turn = turn.join(best.select("sid", F.col("best.cost").alias("known")), "sid", "left")
+        turn = written(turn.filter((F.col("known").isNull()) | ((F.greatest("mine", "theirs") < F.col("known")) if bottleneck else (F.col("mine") + F.col("theirs") <= F.col("known")))), "turns")
+        if turn.isEmpty():
+            break
+        todo = F.col("open") & (F.col("side") == F.col("turn")) & ((F.col("lab.cost") <= F.col("mine") + SLACK) if bottleneck else F.lit(True))
+        now = lab.filter("open").join(turn, "sid").filter(todo).join(own, "sid").withColumnRenamed("node", "u")
+        if low is not None:
+            now = now.join(low, "u").withColumn("low", F.get("low", F.col("q")).cast("bigint"))
+        else:
+            now = now.withColumn("low", F.lit(1).cast("bigint"))
+        bound = F.greatest("lab.cost", "low", "theirs") < F.col("known") if bottleneck else F.col("lab.cost") + F.col("low") + F.col("theirs") <= F.col("known")
+        step = now.filter(F.col("known").isNull() | bound).select("sid", "side", "u", "lab", "q", "cap", "known").join(sym, "u")
+        cost = F.get("costs", F.col("q")).cast("bigint") if "costs" in sym.columns else F.lit(1).cast("bigint")
+        step = step.withColumn("w", cost).filter((F.col("cap").isNull() | (F.col("w") <= F.col("cap"))))
+        weigh = F.col("w") if low is not None or bottleneck else F.lit(1).cast("bigint")
+        total = add(F.col("lab.cost"), weigh)
+        step = step.filter(F.col("known").isNull() | ((total < F.col("known")) if bottleneck else (total <= F.col("known"))))
+        path = F.col("lab.path") if bottleneck else F.when(F.col("side") == 0, F.concat("lab.path", F.array("v"))).otherwise(F.concat(F.array("v"), "lab.path"))
+        step = step.groupBy("sid", "side", F.col("v").alias("node")).agg(F.min(F.struct(total.alias("cost"), (F.lit(0) if bottleneck else F.col("lab.hops") + 1).alias("hops"), path.alias("path"))).alias("found"))
+        x = lab.drop("new").join(turn, "sid", "left").withColumn("open", F.coalesce(F.col("open") & F.col("turn").isNotNull() & ~todo, F.lit(False))).drop("turn", "mine", "theirs", "known")
+        x = x.join(step, ["sid", "side", "node"], "full").withColumn("new", F.col("found").isNotNull() & (F.col("lab").isNull() | (F.col("found") < F.col("lab"))))
+        lab = written(x.select("sid", "side", "node", F.when(F.col("new"), F.col("found")).otherwise(F.col("lab")).alias("lab"), (F.col("new") | F.coalesce("open", F.lit(False))).alias("open"), "new"), "labels")
+    return best
+
+
+def shortest_paths(edges: DataFrame, segs: DataFrame) -> DataFrame:
+    """query_id, seg, path: the path of fewest edges of each segment (see segments), ties by its nodes' names; equal segments of many
+    queries are searched once."""
+    ends = segs.select("source", "target").distinct().withColumn("sid", F.xxhash64("source", "target"))
+    ends = written(ends.select("sid", F.lit(0).alias("q"), "source", "target"), "ends")
+    sym = both_ways(edges.select("src", "tgt")).select("u", "v").distinct().repartition("u").persist()
+    best = search(sym, None, ends)
+    sym.unpersist()
+    return segs.join(ends.select("sid", "source", "target"), ["source", "target"]).join(best, "sid").select("query_id", "seg", F.col("best.path").alias("path"))
+
+
+class Costed:
+    """A block of queries on a graph: its costs by query number, laid out by node for the rounds of a search."""
+
+    def __init__(self, edges: DataFrame, segs: DataFrame):
+        self.sym = both_ways(edges).repartition("u").sortWithinPartitions("u").persist()  # u, v, tokens, costs
+        self.low = written(_lowest(self.sym), "lowest")
+        self.segs = segs
+
+    def close(self) -> None:
+        self.sym.unpersist()
+
+    def _named(self, best: DataFrame, decision: str) -> DataFrame:
+        return best.select("sid", F.col("best.path").alias("path"), F.lit(decision).alias("decision"))
+
+    def cheapest(self, segs: DataFrame, decision: str) -> DataFrame:
+        return self._named(search(self.sym, self.low, segs), decision)
+
+    def shortest(self, segs: DataFrame, decision: str) -> DataFrame:
+        return self._named(search(self.sym, None, segs.drop("cap")), decision)
+
+    def capped(self, segs: DataFrame) -> DataFrame:
+        """sid, best: fewest edges over edges of cost up to each segment's cap."""
+        return search(self.sym, None, segs)
+
+    def bottleneck(self, segs: DataFrame, decision: str) -> DataFrame:
+        """The shortest path at the least ceiling that leaves one."""
+        ceiling = search(self.sym, self.low, segs, bottleneck=True).select("sid", F.col("best.cost").alias("cap"))
+        return self._named(self.capped(written(segs.join(ceiling, "sid"), "capped")), decision)
+
+    def budgeted(self, segs: DataFrame, o: PathOptions) -> DataFrame:
+        """The shortest path at the least ceiling that leaves one of at most max_path_edges, else by the fallbacks."""
+        most = max(1, o.max_path_edges)
+        fits = lambda p: F.size(p) - 1 <= most
+        free = written(self.bottleneck(segs, "minmax_budgeted"), "free")
+        out = free.filter(fits("path"))
+        over = written(free.filter(~fits("path")).select("sid").join(segs, "sid"), "over")
+        if over.isEmpty():
+            return out
+        # a higher ceiling only adds edges, so the least one that leaves a short path is found by bisection
+        top = self.sym.select(F.array_max("costs").alias("c")).agg(F.max("c")).first()[0]
+        plain = written(self.shortest(over, "unweighted_fallback"), "plain")
+        able = written(over.join(plain.filter(fits("path")).select("sid"), "sid").select(*over.columns, F.lit(-1).cast("bigint").alias("lo"), F.lit(top).cast("bigint").alias("hi")), "able")
+        while not able.filter("hi - lo > 1").isEmpty():
+            half = able.withColumn("cap", ((F.col("lo") + F.col("hi")) / 2).cast("bigint"))
+            ok = self.capped(half.filter("hi - lo > 1")).filter(fits(F.col("best.path"))).select("sid", F.lit(True).alias("ok"))
+            able = written(half.join(ok, "sid", "left").select(*over.columns, F.when(F.col("ok") | (F.col("hi") - F.col("lo") <= 1), F.col("lo")).otherwise(F.col("cap")).alias("lo"), F.when(F.col("ok"), F.col("cap")).otherwise(F.col("hi")).alias("hi")), "able")
+        out = out.unionByName(self._named(self.capped(able.withColumn("cap", F.col("hi"))), "minmax_budgeted"))
+        lost = over.join(able.select("sid"), "sid", "left_anti")
+        if o.fallback == "weighted" and not lost.isEmpty():
+            w = written(self.cheapest(lost, "weighted_fallback").filter(fits("path")), "weighted")
+            out = out.unionByName(w)
+            lost = lost.join(w.select("sid"), "sid", "left_anti")
+        return out.unionByName(plain.join(lost.select("sid"), "sid", "left_semi"))
+
+    def candidates(self, seeds: DataFrame, o: PathOptions) -> DataFrame:
+        """q, src, tgt, cost, tokens: the cheapest neighbours of every node within max_hops of a query's keys, over these edges."""
+        seen = front = written(seeds.select("q", F.col("node").alias("u")).distinct(), "front")
+        out = None
+        for _ in range(max(o.hops, o.max_hops) + 1):
+            near = front.join(self.sym, "u").select("q", "u", "v", "tokens", F.get("costs", F.col("q")).alias("cost"))
+            near = near.withColumn("n", F.row_number().over(Window.partitionBy("q", "u").orderBy("cost", "v"))).filter(F.col("n") <= o.top_neighbours)
+            near = written(near.drop("n"), "near")
+            out = near if out is None else out.unionByName(near)
+            front = written(near.select("q", F.col("v").alias("u")).distinct().join(seen, ["q", "u"], "left_anti"), "front")
+            seen = seen.unionByName(front)
+            if front.isEmpty():
+                break
+        return out.select("q", F.col("u").alias("src"), F.col("v").alias("tgt"), (F.col("cost") * UNIT).alias("cost"), "tokens")
+
+
 RESULT = "query_id string, path array<string>, decisions array<struct<source: string, target: string, decision: string, path_edges: int>>"
+Costs = DataFrame | Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def beside(edges: DataFrame, costs: DataFrame, block: DataFrame, size: int) -> DataFrame:
+    """edges with the costs of a block's queries (query_id, q) in one array by q; a missing cost is 1."""
+    c = costs.select(F.col("query_id").cast("string").alias("query_id"), F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), F.round(F.col("cost") / UNIT).cast("int").alias("c")).filter("c IS NOT NULL").join(block.select("query_id", "q"), "query_id")
+    m = c.groupBy("src", "tgt").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("q", "c")))).alias("m"))  # at most BLOCK entries
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(int(1 / UNIT))))
+    return edges.join(m, ["src", "tgt"], "left").withColumn("costs", filled).drop("m")
+
+
+def joined_path(rows: pd.DataFrame, o: PathOptions) -> tuple[list[str], list[dict]]:
+    """The segments of one query (source, target, path, decision) put together as `through` does."""
+    path: list[str] = []
+    out = []
+    for r in rows.sort_values("seg").itertuples():
+        p = list(r.path) if r.path is not None else []
+        n, so_far = max(0, len(p) - 1), max(0, len(path) - 1)
+        if o.strategy in ("minmax_budgeted", "mcts") and 0 < o.max_total_edges < so_far + n:
+            out.append({"source": r.source, "target": r.target, "decision": "budget_stop", "path_edges": n})
+            break
+        out.append({"source": r.source, "target": r.target, "decision": r.decision if p else "no_path", "path_edges": n})
+        if not p:
+            path += [] if path and path[-1] == r.target else [r.target]
+        else:
+            path += p[1:] if path else p
+    return path, out
 
 
-def bridge_paths(edges: DataFrame, keys: DataFrame, options: PathOptions = PathOptions(), radius: int = 4, costs: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """query_id, path, decisions. edges: src, tgt[, tokens]; keys: query_id, keys (ordered array); costs: query_id, src, tgt, cost, or a
-    function that gives them for the candidate edges (query_id, src, tgt).
-
-    A query's graph is what lies within `radius` edges of its keys; it is collected into that query's own task only."""
-    key = cut(keys.select(F.col("query_id").cast("string").alias("query_id"), "keys"))
-    seeds = key.select(F.col("query_id").alias("origin"), F.explode("keys").alias("node")).distinct()
-    near = hops(edges, seeds, radius).select(F.col("origin").alias("query_id"), "node")  # all keys of a query spread together
-    e = edges.select("src", "tgt", (F.col("tokens") if "tokens" in edges.columns else F.lit(0)).alias("tokens"))
-    mine = near.withColumnRenamed("node", "src").join(e, "src").join(near.withColumnRenamed("node", "tgt"), ["query_id", "tgt"])
-    if costs is not None:
-        mine = cut(mine)
-        costs = costs(mine) if callable(costs) else costs
-        mine = mine.join(costs.select(F.col("query_id").cast("string").alias("query_id"), "src", "tgt", "cost"), ["query_id", "src", "tgt"], "left")
-    else:
-        mine = mine.withColumn("cost", F.lit(None).cast("double"))
-
-    def run(k: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        net = Net(zip(g["src"], g["tgt"], g["cost"].astype(float), g["tokens"], strict=True))
+def bridge_paths(edges: DataFrame, keys: DataFrame, options: PathOptions = PathOptions(), costs: Costs | None = None) -> DataFrame:
+    """query_id, path, decisions. edges: src, tgt[, tokens]; keys: query_id, keys (ordered array, of at most some dozens); costs: query_id,
+    src, tgt, cost, or a function of (edges, block of queries: query_id, q) that gives the edges with a column costs: an array by q
+    of whole numbers of UNIT. Without costs all paths have the fewest edges.
+
+    All segments of a block of queries are searched at once, over the whole graph, by joins; only the tree search runs inside one
+    task a query, on the cheapest neighbours around its keys."""
+    key = written(keys.select(F.col("query_id").cast("string").alias("query_id"), "keys"), "keys")
+    segs = written(segments(key), "segments")
+    e = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), (F.col("tokens") if "tokens" in edges.columns else F.lit(0)).cast("int").alias("tokens"))
+    e = written(e.groupBy("src", "tgt").agg(F.max("tokens").alias("tokens")), "graph")
+    plain = segs
+    found = None
+    if costs is not None and options.strategy not in ("unweighted", "none"):
+        ids = sorted(r[0] for r in segs.select("query_id").distinct().collect())  # a stated set of queries
+        if not callable(costs):
+            known = {r[0] for r in costs.filter("cost IS NOT NULL").select(F.col("query_id").cast("string")).distinct().collect()}
+            ids = [i for i in ids if i in known]
+        spark = edges.sparkSession
+        for lo in range(0, len(ids), BLOCK):
+            part = ids[lo : lo + BLOCK]
+            block = spark.createDataFrame(list(zip(part, range(len(part)), strict=True)), "query_id string, q int")
+            g = Costed(written(costs(e, block) if callable(costs) else beside(e, costs, block, len(part)), "costed"), block)
+            mine = segs.join(F.broadcast(block), "query_id")  # at most BLOCK rows
+            mine = written(mine.select(F.xxhash64("query_id", "seg").alias("sid"), "query_id", "seg", "q", "source", "target"), "segments")
+            if options.strategy == "mcts":
+                one = _searched(g, mine, options)
+            elif options.strategy == "query_weighted":
+                one = g.cheapest(mine, "query_weighted")
+            elif options.strategy == "minmax":
+                one = g.bottleneck(mine, "minmax")
+            else:
+                one = g.budgeted(mine, options)
+            one = written(mine.join(one, "sid", "left").select("query_id", "seg", "source", "target", "path", "decision"), "paths")
+            g.close()
+            found = one if found is None else found.unionByName(one)
+        if ids:
+            plain = segs.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    p = shortest_paths(e, plain).withColumn("decision", F.lit("unweighted"))
+    rest = plain.join(p, ["query_id", "seg"], "left").select("query_id", "seg", "source", "target", "path", "decision")
+    every = rest if found is None else found.unionByName(rest)
+
+    def run(k: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:  # the keys and segments of one query
         rows = []
         for q, ks in zip(k["query_id"], k["keys"], strict=True):
-            path, dec = through(net, list(ks), options)
-            rows.append((q, path, [{c: d[c] for c in ("source", "target", "decision", "path_edges")} for d in dec]))
+            path, dec = joined_path(g, options) if len(g) else (list(dict.fromkeys(x for x in ks if x)), [])
+            rows.append((q, path, dec))
         return pd.DataFrame(rows, columns=["query_id", "path", "decisions"])
 
-    graph = mine.select(F.concat("query_id", F.lit("")).alias("of_query"), "src", "tgt", "cost", "tokens")
-    return key.groupBy("query_id").cogroup(graph.groupBy("of_query")).applyInPandas(run, RESULT)
+    of = every.withColumnRenamed("query_id", "of_query")
+    return key.groupBy("query_id").cogroup(of.groupBy("of_query")).applyInPandas(run, RESULT)
+
+
+def _searched(g: Costed, segs: DataFrame, o: PathOptions) -> DataFrame:
+    """sid, path, decision of the tree search: one task a query, on its pruned candidate graph."""
+    seeds = segs.select("q", F.explode(F.array("source", "target")).alias("node"))
+
+    def run(s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        net = Net(zip(c["src"], c["tgt"], c["cost"].astype(float), c["tokens"], strict=True))
+        rows = [(r.sid, *TreeSearch(net, r.source, r.target, o).run()[:2]) for r in s.itertuples()]
+        return pd.DataFrame(rows, columns=["sid", "path", "decision"])
+
+    return segs.groupBy("q").cogroup(g.candidates(seeds, o).groupBy("q")).applyInPandas(run, "sid bigint, path array<string>, decision string")
 
 
 def relaxed_costs(edges: DataFrame, origins: DataFrame, rounds: int | None = None, bottleneck: bool = False) -> DataFrame:

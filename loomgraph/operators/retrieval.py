@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.functions import records as fr
 from loomgraph.operators import chunking, community, extract, graph, paths, vectors
+from loomgraph.models import Embedder, Extractor, Reporter, Reranker
 from loomgraph.session import cut
 
 
@@ -30,7 +31,6 @@ class QueryOptions:
     alpha: float = 1.0
     beta: float = 0.15
     gamma: float = 0.05
-    radius: int = 3
     naive_budget: int = 10_000
     text_budget: int = 20_000
     local_budget: int = 20_000
@@ -73,36 +73,42 @@ class Index:
     edge_vectors: DataFrame
 
 
-def build_index(documents: DataFrame, text: str = "text", size: int = 120, overlap: int = 20, embedder=None) -> Index:
-    """Documents to all tables of an index, with the offline extractor, reporter and embedder unless others are given."""
+def build_index(documents: DataFrame, text: str = "text", size: int = 120, overlap: int = 20, embedder: Embedder | None = None, extractor: Extractor | None = None, chunker=None, reporter: Reporter | None = None) -> Index:
+    """Documents to all tables of an index, with the offline chunker, extractor, reporter and embedder unless others are given."""
     docs = chunking.dedupe_documents(documents, text)
-    ch = cut(chunking.chunks(docs, size=size, overlap=overlap).select("chunk_id", F.col("chunk_order_index").alias("ord"), "tokens", "content"))
-    men = cut(extract.regex_entities(ch, "chunk_id", "content").select(F.upper("name").alias("node"), "chunk_id").distinct())
+    ch = cut(chunking.chunks(docs, size=size, overlap=overlap, chunker=chunker).select("chunk_id", F.col("chunk_order_index").alias("ord"), "tokens", "content"))
+    men = cut((extractor or extract.regex_entities)(ch, "chunk_id", "content").select(F.upper("name").alias("node"), "chunk_id").distinct())
     nodes = men.groupBy(F.col("node").alias("entity_name")).agg(F.lit("normal_entity").alias("entity_type"), F.concat(F.lit("Mentioned in "), F.count("*").cast("string"), F.lit(" chunks.")).alias("description"))
     nodes = cut(nodes.withColumn("tokens", fr.n_tokens(F.concat_ws(" ", "entity_name", "entity_type", "description"))))
     edges = extract.cooccurrence(men.select("chunk_id", F.col("node").alias("name")), "chunk_id").withColumn("description", F.lit("Co-occurs in the same text chunk."))
     edges = cut(edges.withColumn("tokens", fr.n_tokens(F.concat_ws(" ", "src", "tgt", "description"))))
     mem = cut(community.hierarchical_communities(edges))
-    rep = community.extractive_reports(mem, nodes, edges)
+    rep = (reporter or community.extractive_reports)(mem, nodes, edges)
     rep = rep.select("level", "community", fr.report_markdown(F.col("title"), F.col("summary"), F.col("findings")).alias("text"), "rating")
     rep = cut(rep.withColumn("tokens", fr.n_tokens(F.col("text"))))
     nv = cut(vectors.embed(nodes.select(F.col("entity_name").alias("id"), F.concat_ws(" ", "entity_name", "description").alias("t")), "id", "t", embedder=embedder))
     cv = cut(vectors.embed(ch.select(F.col("chunk_id").alias("id"), F.col("content").alias("t")), "id", "t", embedder=embedder))
     a, b = nv.select(F.col("id").alias("src"), F.col("vec").alias("va")), nv.select(F.col("id").alias("tgt"), F.col("vec").alias("vb"))
-    ev = edges.select("src", "tgt").join(a, "src").join(b, "tgt").select("src", "tgt", F.zip_with("va", "vb", lambda x, y: (x + y) / 2).alias("vec"))
-    return Index(ch, men, nodes, edges, mem, rep, nv, cv, ev)
+    ev = edges.select("src", "tgt").join(a, "src").join(b, "tgt").select("src", "tgt", F.zip_with(unit("va"), unit("vb"), lambda x, y: (x + y) / 2).alias("vec"))
+    return Index(ch, men, nodes, edges, mem, rep, nv, cv, cut(ev))
 
 
-def _hits(v: DataFrame, q: DataFrame, k: int, threshold: float) -> DataFrame:
+def unit(c: str):
+    """A vector column at length 1; the zero vector stays."""
+    n = F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(F.col(c), lambda x: F.when(n > 0, x / n).otherwise(0.0))
+
+
+def nearest(v: DataFrame, q: DataFrame, k: int, threshold: float) -> DataFrame:
     """Top-k over string ids: the search runs on dense numbers given by hash, joined back."""
     n = v.withColumn("vid", F.xxhash64("id"))
     return vectors.topk(n, q, k, threshold, "vid", "vec").join(n.select("vid", "id"), "vid").drop("vid")
 
 
-def entity_hits(ix: Index, queries: DataFrame, o: QueryOptions, reranker=None) -> DataFrame:
+def entitynearest(ix: Index, queries: DataFrame, o: QueryOptions, reranker=None) -> DataFrame:
     """query_id, node, dense_order, score: top_k x multiplier entities, reranked where asked for by the query's text (column query)
     and the entity's; the default reranker is vectors.word_maxsim."""
-    h = _hits(ix.node_vectors, queries, o.top_k * o.multiplier, o.threshold).join(ix.nodes.select(F.col("entity_name").alias("id")), "id", "left_semi")
+    h = nearest(ix.node_vectors, queries, o.top_k * o.multiplier, o.threshold).join(ix.nodes.select(F.col("entity_name").alias("id")), "id", "left_semi")
     if o.rerank:
         if "query" not in queries.columns:
             raise ValueError("reranking needs the queries' texts: column query")
@@ -149,15 +155,18 @@ def bridge(ix: Index, queries: DataFrame, keys: DataFrame, o: QueryOptions) -> t
     """(paths with their decisions, edges among the path's nodes within the budget)."""
     costs = None
     if o.paths.strategy not in ("none", "unweighted"):
-        costs = lambda cand: graph.candidate_costs(cand, ix.edges.select("src", "tgt", "weight"), ix.edge_vectors, queries, o.alpha, o.beta, o.gamma)
-    p = cut(paths.bridge_paths(ix.edges.select("src", "tgt", "tokens"), keys, o.paths, o.radius, costs))
+
+        def costs(e: DataFrame, block: DataFrame) -> DataFrame:
+            return graph.block_costs(e, ix.edges, ix.edge_vectors, block.join(queries.select("query_id", "qvec"), "query_id"), paths.UNIT, o.alpha, o.beta, o.gamma)
+
+    p = cut(paths.bridge_paths(ix.edges.select("src", "tgt", "tokens"), keys, o.paths, costs))
     on = p.select("query_id", F.explode("path").alias("node")).distinct()
     e = graph.edge_degrees(ix.edges).select("src", "tgt", "weight", "tokens", "edge_degree")
     e = e.join(on.withColumnRenamed("node", "src"), "src").join(on.withColumnRenamed("node", "tgt"), ["query_id", "tgt"])
     return p, chunking.token_budget(e, ["query_id"], [F.desc("edge_degree"), F.desc("weight"), "src", "tgt"], "tokens", o.bridge_budget)
 
 
-def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions = QueryOptions(), reranker=None) -> DataFrame:
+def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions = QueryOptions(), reranker: Reranker | None = None) -> DataFrame:
     """query_id (string), section, rank, item, tokens: the context of each query in a mode. queries: query_id, qvec, and query (its
     text) for the modes that rerank."""
     sections, strategy, rr = MODES[mode]
@@ -170,10 +179,10 @@ def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions =
         out.append(df.select("query_id", F.lit(name).alias("section"), n.alias("rank"), item.alias("item"), F.col("tokens").cast("bigint").alias("tokens")))
 
     if "chunks" in sections:
-        h = _hits(ix.chunk_vectors, q, o.top_k, o.threshold).withColumnRenamed("id", "chunk_id").join(ix.chunks, "chunk_id")
+        h = nearest(ix.chunk_vectors, q, o.top_k, o.threshold).withColumnRenamed("id", "chunk_id").join(ix.chunks, "chunk_id")
         put(chunking.token_budget(h, ["query_id"], ["dense_order"], "tokens", o.naive_budget), "chunks", F.col("chunk_id"), ["dense_order"])
     else:
-        wide = cut(entity_hits(ix, q, o, reranker))
+        wide = cut(entitynearest(ix, q, o, reranker))
         hits = wide.filter(F.col("dense_order") < o.top_k)
         if "communities" in sections:
             put(communities(ix, hits, o), "communities", F.concat_ws("/", F.col("level").cast("string"), "community"), ["running_cost", "level", "community"])

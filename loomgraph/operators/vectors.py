@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import functools
-import re
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.functions.records import snippet_tokens
+from loomgraph.functions.records import SNIPPET_STOPWORDS
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -43,7 +43,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.2,
             keys = np.asarray(b.column(0))
             x = unit(np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1))
             for lo in range(0, len(m), 256):  # in blocks of queries
-                s = m[lo : lo + 256] @ x.T
+                s = np.round(m[lo : lo + 256] @ x.T, 9)  # so that equal scores tie, whatever the order of sums
                 rows = []
                 for i, r in enumerate(s):
                     at = np.flatnonzero(r >= threshold - 1e-12)
@@ -88,15 +88,23 @@ def rerank(hits: DataFrame, scores: DataFrame | None, top_k: int, top_n: int, ke
     return x.withColumn("final_order", F.row_number().over(w) - 1).filter(F.col("final_order") < top_k)
 
 
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
 def hashed(texts: list[str], dims: int = 64) -> np.ndarray:
-    """The default embedder."""
+    """The default embedder: signed counts of words and pairs of words by hash. Whole numbers, so any engine gives the same; cosines
+    take care of lengths."""
     out = np.zeros((len(texts), dims), np.float32)
+    known: dict[str, tuple[int, int]] = {}
     for i, t in enumerate(texts):
-        w = re.findall(r"\w+", t.lower())
-        for g in (*w, *(a + " " + b for a, b in zip(w, w[1:], strict=False))):
-            h = zlib.crc32(g.encode())
-            out[i, h % dims] += 1 if h >> 16 & 1 else -1
-    return unit(out)
+        w = _WORD.findall(t.lower())
+        for g in (*w, *map(" ".join, zip(w, w[1:], strict=False))):
+            if g not in known:
+                h = int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big")
+                known[g] = h % dims, 1 if h >> 16 & 1 else -1
+            d, sign = known[g]
+            out[i, d] += sign
+    return out
 
 
 def word_maxsim(embedder: Callable[[list[str]], np.ndarray] | None = None) -> Callable[[list[str], list[str]], list[float | None]]:
@@ -105,7 +113,7 @@ def word_maxsim(embedder: Callable[[list[str]], np.ndarray] | None = None) -> Ca
     call = embedder or functools.partial(hashed, dims=1024)
 
     def run(queries: list[str], texts: list[str]) -> list[float | None]:
-        words = {t: re.findall(r"\w+", t.lower()) for t in {*queries, *texts}}
+        words = {t: _WORD.findall(t.lower()) for t in {*queries, *texts}}
         every = sorted({w for x in words.values() for w in x})
         vec = unit(np.asarray(call(every), np.float64)) if every else None
         at = {w: i for i, w in enumerate(every)}
@@ -157,12 +165,17 @@ def missing_vectors(items: DataFrame, vectors: DataFrame, key: str) -> DataFrame
     return items.select(key).join(vectors.filter("vec IS NOT NULL").select(key), key, "left_anti")
 
 
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, tf: one and two words of the snippet tokens' alphabet."""
+    w = df.select(F.col(key), F.filter(F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), F.array().cast("array<string>")), lambda t: ~t.isin(*SNIPPET_STOPWORDS)).alias("w"))
+    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
+    return w.select(key, F.explode(F.concat("w", two)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
 def tfidf(df: DataFrame, key: str, text: str, features: int = 2048) -> DataFrame:
     """key, term, weight: l2-normalised tf-idf with smoothed idf ln((1 + n) / (1 + df)) + 1, over the most frequent terms (at
     most `features`; ties by term). One and two words of the snippet tokens' alphabet."""
-    w = df.select(F.col(key), F.filter(F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), F.array().cast("array<string>")), lambda t: F.size(F.array_intersect(F.array(t), snippet_tokens(t))) > 0).alias("w"))
-    two = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))
-    tf = w.select(key, F.explode(F.concat("w", two)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = term_counts(df, key, text)
     n = df.agg(F.count("*").alias("n"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(features)
     x = tf.join(F.broadcast(stats), "term").join(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))  # at most `features` rows; one row

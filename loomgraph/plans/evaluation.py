@@ -8,13 +8,14 @@ from pyspark.sql.window import Window
 from loomgraph.functions import records as fr
 from loomgraph.functions.text import fold_name
 from loomgraph.operators import batchio, evaluate, limits, nested
+from loomgraph.operators.order import positions
 from loomgraph.plans.registry import Registry
 from loomgraph.plans.text import WORDS
 from loomgraph.session import table
 
 R = Registry()
 M = "retrieval_trace_metrics"
-METRICS = ["latency_seconds", "context_tokens", "local_entity_count", "community_count", "bridge_edge_count", "bridge_path_edges", "mean_edge_cost", "budget_attempt_count"]
+METRICS = ["latency_seconds", "input_tokens", "context_tokens", "context_input_tokens", "local_entity_count", "community_count", "bridge_edge_count", "bridge_path_nodes", "bridge_path_edges", "mean_edge_cost", "max_edge_cost", "mean_edge_score", "bridge_budget_fallbacks", "budget_attempt_count"]
 _MEANS = ", ".join(f"avg({m}::DOUBLE) AS mean_{m}" for m in METRICS)
 _FOLD = lambda c: f"regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '[-\\s]', '_', 'g')"
 #: One row a query and variant: the mean over deliveries.
@@ -50,12 +51,11 @@ R.add("delta_vs_baseline", f"SELECT dataset, query_id, variant, round(delta, 6)
 R.add("delta_summary", f"SELECT variant, round(avg(delta), 6) AS mean_delta, round(median(delta), 6) AS median_delta, count(*) FILTER (WHERE delta > 0) AS n_positive, count(*) AS n FROM {_DELTA} GROUP BY 1")(
     lambda s, d: evaluate.delta_summary(evaluate.deltas(per_query(s, d), ["dataset", "query_id"], "variant", "hi", "x"), ["variant"]).withColumn("mean_delta", F.round("mean_delta", 6)).withColumn("median_delta", F.round("median_delta", 6))
 )
-_V = ["hi", "hi_weighted", "hi_mcts", "naive"]
+_V = ["naive", "hi_local", "hi_global", "hi_nobridge", "hi_bridge", "hi", "hi_weighted", "hi_minmax", "hi_minmax_budgeted", "hi_mcts", "hi_rerank", "hi_rerank_weighted"]
 R.add("delta_pivot", f"SELECT query_id, {', '.join(f'''min(x) FILTER (WHERE variant = '{v}') AS {v}''' for v in _V)} FROM {_QV} GROUP BY 1")(lambda s, d: evaluate.pivoted(per_query(s, d), "query_id", "variant", _V, "x"))
-R.add("metrics_unpivot", f"""SELECT delivery_id, metric, value FROM (SELECT delivery_id, unnest([{', '.join(f"'{m}'" for m in METRICS[:3])}]) AS metric, unnest([{', '.join(f'{m}::DOUBLE' for m in METRICS[:3])}]) AS value FROM {M}) WHERE value IS NOT NULL""")(
-    lambda s, d: evaluate.melted(table(s, d, M).select("delivery_id", *[F.col(m).cast("double") for m in METRICS[:3]]), ["delivery_id"], METRICS[:3])
+R.add("metrics_unpivot", f"""SELECT delivery_id, metric, value FROM (SELECT delivery_id, unnest([{', '.join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{', '.join(f'{m}::DOUBLE' for m in METRICS)}]) AS value FROM {M}) WHERE value IS NOT NULL""")(
+    lambda s, d: evaluate.melted(table(s, d, M).select("delivery_id", *[F.col(m).cast("double") for m in METRICS]), ["delivery_id"], METRICS)
 )
-_N = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\\pL\\pM\\pN\\p{{Pc}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 R.add("em_f1")(lambda s, d: evaluate.exact_match_f1(table(s, d, "answers"), "answer_id", "query", "answer"))
 R.add("em_f1_titles", """WITH t AS (SELECT o_orderkey AS k, lower(o_orderpriority) AS g, lower(o_orderstatus || ' ' || o_orderpriority) AS p FROM orders),
   n AS (SELECT k, trim(regexp_replace(regexp_replace(g, '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS g, trim(regexp_replace(regexp_replace(p, '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS p FROM t),
@@ -74,7 +74,7 @@ R.add("resume_anti_join", f"""SELECT answer_id FROM answers a WHERE NOT EXISTS (
     lambda s, d: batchio.resume(table(s, d, "answers").select("answer_id", "run_id", "query_id", "variant"), table(s, d, M), ["run_id", "query_id", "variant"]).select("answer_id")
 )
 R.add("retry_selection", """SELECT DISTINCT run_id, custom_id FROM batch_errors WHERE custom_id IS NOT NULL AND (error IS NOT NULL OR response.status_code >= 400)""")(
-    lambda s, d: table(s, d, "batch_errors").filter(F.col("custom_id").isNotNull() & (F.col("error").isNotNull() | (F.col("response.status_code") >= 400))).select("run_id", "custom_id").distinct()
+    lambda s, d: batchio.retryable(table(s, d, "batch_errors")).select("run_id", "custom_id").distinct()
 )
 R.add("batch_status_summary", """SELECT response.status_code AS status_code, count(*) AS n_rows, count(error) AS errors, count(DISTINCT custom_id) AS ids FROM batch_errors GROUP BY 1""")(
     lambda s, d: table(s, d, "batch_errors").groupBy(F.col("response.status_code").alias("status_code")).agg(F.count("*").alias("n_rows"), F.count("error").alias("errors"), F.count_distinct("custom_id").alias("ids"))
@@ -102,7 +102,7 @@ R.add("answer_tokens", f"""SELECT variant, sum(len({WORDS('answer')}))::BIGINT A
     lambda s, d: table(s, d, "answers").groupBy("variant").agg(F.sum(fr.n_tokens(F.col("answer"))).alias("answer_tokens"))
 )
 R.add("queries_numeric_order", """SELECT query_id, row_number() OVER (ORDER BY query_id, dataset) - 1 AS ord, dataset FROM (SELECT DISTINCT query_id, dataset FROM answers WHERE query_id IS NOT NULL)""")(
-    lambda s, d: table(s, d, "answers").filter("query_id IS NOT NULL").select("query_id", "dataset").distinct().withColumn("ord", (F.row_number().over(Window.partitionBy().orderBy("query_id", "dataset")) - 1).cast("bigint"))
+    lambda s, d: positions(table(s, d, "answers").filter("query_id IS NOT NULL").select("query_id", "dataset").distinct(), [F.asc("query_id"), F.asc("dataset")], "ord")
 )
 R.add("event_stage_shares", """SELECT event_type AS stage, round(sum(value) / sum(sum(value)) OVER (), 9) AS share FROM events GROUP BY 1""")(
     lambda s, d: (lambda g: g.join(F.broadcast(g.agg(F.sum("v").alias("t")))).select("stage", F.round(F.col("v") / F.col("t"), 9).alias("share")))(table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.sum("value").alias("v")))

@@ -162,5 +162,4 @@ R.add("maxsim_rerank", f"""WITH q AS (SELECT label AS query_id, embedding::DOUBL
   b AS (SELECT query_id, doc, q.v AS qv, max(list_cosine_similarity(q.v, d.v)) AS m FROM q, d GROUP BY 1, 2, 3) SELECT query_id::BIGINT AS query_id, doc, round(sum(m), 6) AS rerank_score FROM b GROUP BY 1, 2""")(
     lambda s, d: vectors.maxsim(table(s, d, "embeddings").filter("vec_id % 100 = 0").groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.collect_list("embedding").alias("qt")).join(table(s, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("doc")).agg(F.collect_list("embedding").alias("dt")), how="cross"), "qt", "dt").select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"))
 )
-R.add("tfidf_vectors")(lambda s, d: vectors.tfidf(table(s, d, "documents").filter("text IS NOT NULL"), "doc_id", "text").withColumn("weight", F.round("weight", 9)))
 R.add("hashed_embeddings")(lambda s, d: vectors.embed(table(s, d, "unique_contexts"), "context_id", "context").select("context_id", F.size("vec").alias("dims"), F.array_join(F.transform(F.slice("vec", 1, 4), lambda x: F.round(x.cast("double"), 6).cast("string")), ",").alias("head")))

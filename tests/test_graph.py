@@ -67,12 +67,37 @@ def test_bridge_paths_and_relaxation(spark):
     e = spark.createDataFrame(SQUARE, "src string, tgt string")
     k = spark.createDataFrame([("q", ["A", "D"]), ("r", ["B"])], "query_id string, keys array<string>")
     c = spark.createDataFrame([("q", u, v, 10.0 if "B" in (u, v) else 1.0) for u, v in SQUARE], "query_id string, src string, tgt string, cost double")
-    got = {r.query_id: r.path for r in bridge_paths(e, k, PathOptions(strategy="query_weighted"), 4, c).collect()}
+    got = {r.query_id: r.path for r in bridge_paths(e, k, PathOptions(strategy="query_weighted"), c).collect()}
     assert got == {"q": list("ACED"), "r": ["B"]}
     o = spark.createDataFrame([("A",)], "node string")
     assert {r.node: r.cost for r in relaxed_costs(c, o, 5).collect()}["D"] == 3.0
 
 
+@pytest.mark.parametrize("strategy", ["unweighted", "query_weighted", "minmax", "minmax_budgeted"])
+def test_searches_against_one_net(spark, strategy):
+    """Searches by joins give what the search on one small graph gives, whatever the detour."""
+    names = [f"n{i:02}" for i in range(40)]
+    at = [(names[i], names[j], 1 + (i * 7 + j * 13) % 23) for i, j in itertools.combinations(range(40), 2) if j == i + 1 or (i * j) % 11 == 3] + [("x", "y", 3)]
+    costs = [(q, u, v, (c * (1 + q) % 29 + 1) / 32) for q in range(3) for u, v, c in at]
+    keys = [(q, [names[(q * 7 + 13 * k) % 40] for k in range(4)] + ["x", "", names[q]]) for q in range(3)]
+    o = PathOptions(strategy=strategy, max_path_edges=4, max_total_edges=30)
+    e = spark.createDataFrame([(u, v) for u, v, _ in at], "src string, tgt string")
+    k = spark.createDataFrame([(str(q), x) for q, x in keys] + [("lone", ["x"]), ("none", [])], "query_id string, keys array<string>")
+    c = spark.createDataFrame([(str(q), *x) for q, *x in costs], "query_id string, src string, tgt string, cost double")
+    got = {r.query_id: r for r in bridge_paths(e, k, o, c).collect()}
+    assert got["lone"].path == ["x"] and got["none"].path == []
+    for q, ks in keys:
+        n = Net([(u, v, cost, 0) for i, u, v, cost in costs if i == q])
+        path, dec = through(n, ks, o)
+        mine = [(d.source, d.target, d.decision, d.path_edges) for d in got[str(q)].decisions]
+        weigh = lambda p, n=n: [n.cost(a, b) for a, b in itertools.pairwise(p)]
+        assert [m[:3] for m in mine] == [(d["source"], d["target"], d["decision"]) for d in dec]
+        if strategy == "query_weighted":  # ties in cost may be broken otherwise
+            assert sum(c for a, b in itertools.pairwise(got[str(q)].path) for c in [n.near[a].get(b, (0, 0))[0]]) == pytest.approx(sum(c for a, b in itertools.pairwise(path) for c in [n.near[a].get(b, (0, 0))[0]]))
+        else:
+            assert got[str(q)].path == path and [m[3] for m in mine] == [d["path_edges"] for d in dec] and weigh(path[:2])
+
+
 def test_merges(spark):
     m = spark.createDataFrame([("COMPOST", "concept", "d1", "c1", 0), ("COMPOST", "matter", "d2", "c2", 1), ("SOIL", "x", "d", None, 2)], "entity_name string, entity_type string, description string, source_id string, pos int")
     n = {r.entity_name: r for r in graph.merge_nodes(m).collect()}
