@@ -171,8 +171,28 @@ def plain_findings(findings: Column) -> Column:
 def judge_object(c: Column) -> Column:
     """A judge's verdict as JSON text: the whole text if it is JSON, else what lies between its first and last brace, else null."""
     inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    valid = lambda x: F.try_parse_json(x).isNotNull()
-    return F.when(valid(c), c).when(valid(inner), inner)
+    return F.when(valid_json(c), c).when(valid_json(inner), inner)
+
+
+def valid_json(c: Column) -> Column:
+    """Whether a text is JSON, repeated keys allowed (which a VARIANT refuses); NaN and infinities are none."""
+
+    def one(t: str) -> bool:
+        try:
+            json.loads(t, parse_constant=_refused)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t is not None and one(t)).astype(bool)
+
+    return run(c)
+
+
+def _refused(name: str):
+    raise ValueError(name)
 
 
 def report_error(c: Column) -> Column:

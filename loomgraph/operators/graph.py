@@ -112,14 +112,14 @@ def edge_costs(edges: DataFrame, vectors: DataFrame, query: DataFrame, alpha: fl
     for lo in range(0, max(len(ids), 1), block):
         part = [(i, r.query_id, [float(x) for x in r.qvec]) for i, r in enumerate(ids[lo : lo + block])]
         q = spark.createDataFrame(part, f"q int, query_id {kind}, qvec array<double>")
-        c = block_costs(e, edges, vectors, q, 1e-9, alpha, beta, gamma).select("src", "tgt", F.posexplode("costs").alias("q", "cost")) if part else e.select("src", "tgt", F.lit(0).alias("q"), F.lit(0).alias("cost")).limit(0)
-        one = c.join(F.broadcast(q.select("q", "query_id")), "q").select("query_id", "src", "tgt", (F.col("cost") * 1e-9).alias("cost"))  # at most `block` rows
+        c = block_costs(e, edges, vectors, q, None, alpha, beta, gamma).select("src", "tgt", F.posexplode("costs").alias("q", "cost")) if part else e.select("src", "tgt", F.lit(0).alias("q"), F.lit(0).alias("cost")).limit(0)
+        one = c.join(F.broadcast(q.select("q", "query_id")), "q").select("query_id", "src", "tgt", F.col("cost").cast("double").alias("cost"))  # at most `block` rows
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def block_costs(edges: DataFrame, weights: DataFrame, vectors: DataFrame, queries: DataFrame, unit: float, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05) -> DataFrame:
-    """edges with costs: the array, by the query's number q, of edge_costs in whole numbers of `unit`. queries: q, qvec, a block of some
+def block_costs(edges: DataFrame, weights: DataFrame, vectors: DataFrame, queries: DataFrame, unit: float | None, alpha: float = 1.0, beta: float = 0.15, gamma: float = 0.05) -> DataFrame:
+    """edges with costs: the array, by the query's number q, of edge_costs, in whole numbers of `unit` if it is given. queries: q, qvec, a block of some
     dozens; each Arrow batch of edge vectors is one matrix product. An edge without a vector costs 1."""
     rows = sorted(queries.select("q", "qvec").collect())
     mat = np.array([r.qvec for r in rows], np.float64)
@@ -141,11 +141,11 @@ def block_costs(edges: DataFrame, weights: DataFrame, vectors: DataFrame, querie
                 v = np.asarray(vec.filter(pa.array(known)).flatten(), np.float64).reshape(int(known.sum()), -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 cost[known] = alpha * (1 - v @ mat.T) + np.asarray(own.filter(pa.array(known)))[:, None]
-            out = pa.array(list(np.minimum(np.rint(cost / unit), 2**31 - 1).astype(np.int32)), pa.list_(pa.int32()))
+            out = pa.array(list(np.minimum(np.rint(cost / unit), 2**31 - 1).astype(np.int32)) if unit else list(cost), pa.list_(pa.int32() if unit else pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], out], names=[*b.schema.names[:-2], "costs"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.drop("own", "vec").schema)
-    return x.mapInArrow(run, f"{kept}, costs array<int>")
+    return x.mapInArrow(run, f"{kept}, costs array<{'int' if unit else 'double'}>")
 
 
 def components(edges: DataFrame) -> DataFrame:

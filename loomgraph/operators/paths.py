@@ -275,6 +275,8 @@ UNIT = 1e-6
 BLOCK = 64
 #: How far beyond the cheapest open label a search for bottlenecks expands in one round, in cost units.
 SLACK = 20_000
+#: Ceilings tried at once where a path has to be short too.
+ARMS = 15
 LABEL = "struct<cost: bigint, hops: int, path: array<string>>"
 
 
@@ -402,14 +404,17 @@ class Costed:
         over = written(free.filter(~fits("path")).select("sid").join(segs, "sid"), "over")
         if over.isEmpty():
             return out
-        # a higher ceiling only adds edges, so the least one that leaves a short path is found by bisection
+        # a higher ceiling only adds edges, so the least one that leaves a short path is found by section
         top = self.sym.select(F.array_max("costs").alias("c")).agg(F.max("c")).first()[0]
         plain = written(self.shortest(over, "unweighted_fallback"), "plain")
         able = written(over.join(plain.filter(fits("path")).select("sid"), "sid").select(*over.columns, F.lit(-1).cast("bigint").alias("lo"), F.lit(top).cast("bigint").alias("hi")), "able")
         while not able.filter("hi - lo > 1").isEmpty():
-            half = able.withColumn("cap", ((F.col("lo") + F.col("hi")) / 2).cast("bigint"))
-            ok = self.capped(half.filter("hi - lo > 1")).filter(fits(F.col("best.path"))).select("sid", F.lit(True).alias("ok"))
-            able = written(half.join(ok, "sid", "left").select(*over.columns, F.when(F.col("ok") | (F.col("hi") - F.col("lo") <= 1), F.col("lo")).otherwise(F.col("cap")).alias("lo"), F.when(F.col("ok"), F.col("cap")).otherwise(F.col("hi")).alias("hi")), "able")
+            # ARMS ceilings of each segment at once, as segments of their own
+            tried = able.filter("hi - lo > 1").withColumn("arm", F.explode(F.sequence(F.lit(1), F.lit(ARMS)))).withColumn("cap", F.col("lo") + F.ceil(F.col("arm") * (F.col("hi") - F.col("lo")) / (ARMS + 1)).cast("bigint"))
+            tried = written(tried.filter("cap < hi").withColumn("whole", F.col("sid")).withColumn("sid", F.xxhash64("whole", "cap")), "tried")
+            ok = self.capped(tried).filter(fits(F.col("best.path"))).select("sid", F.lit(True).alias("ok"))
+            seen = tried.join(ok, "sid", "left").groupBy(F.col("whole").alias("sid")).agg(F.min(F.when(F.col("ok"), F.col("cap"))).alias("good"), F.max(F.when(F.col("ok").isNull(), F.col("cap"))).alias("bad"))
+            able = written(able.join(seen, "sid", "left").select(*over.columns, F.greatest("lo", F.coalesce("bad", "lo")).alias("lo"), F.least("hi", F.coalesce("good", "hi")).alias("hi")), "able")
         out = out.unionByName(self._named(self.capped(able.withColumn("cap", F.col("hi"))), "minmax_budgeted"))
         lost = over.join(able.select("sid"), "sid", "left_anti")
         if o.fallback == "weighted" and not lost.isEmpty():

@@ -100,12 +100,11 @@ def unit(c: str):
 
 
 def nearest(v: DataFrame, q: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Top-k over string ids: the search runs on dense numbers given by hash, joined back."""
-    n = v.withColumn("vid", F.xxhash64("id"))
-    return vectors.topk(n, q, k, threshold, "vid", "vec").join(n.select("vid", "id"), "vid").drop("vid")
+    """query_id, id, score, dense_order: the k nearest of v(id string, vec) to each of q(query_id, qvec); equal scores by id."""
+    return vectors.topk(v, q, k, threshold, "id", "vec")
 
 
-def entitynearest(ix: Index, queries: DataFrame, o: QueryOptions, reranker=None) -> DataFrame:
+def entity_hits(ix: Index, queries: DataFrame, o: QueryOptions, reranker=None) -> DataFrame:
     """query_id, node, dense_order, score: top_k x multiplier entities, reranked where asked for by the query's text (column query)
     and the entity's; the default reranker is vectors.word_maxsim."""
     h = nearest(ix.node_vectors, queries, o.top_k * o.multiplier, o.threshold).join(ix.nodes.select(F.col("entity_name").alias("id")), "id", "left_semi")
@@ -182,7 +181,7 @@ def retrieve(ix: Index, queries: DataFrame, mode: str = "hi", o: QueryOptions =
         h = nearest(ix.chunk_vectors, q, o.top_k, o.threshold).withColumnRenamed("id", "chunk_id").join(ix.chunks, "chunk_id")
         put(chunking.token_budget(h, ["query_id"], ["dense_order"], "tokens", o.naive_budget), "chunks", F.col("chunk_id"), ["dense_order"])
     else:
-        wide = cut(entitynearest(ix, q, o, reranker))
+        wide = cut(entity_hits(ix, q, o, reranker))
         hits = wide.filter(F.col("dense_order") < o.top_k)
         if "communities" in sections:
             put(communities(ix, hits, o), "communities", F.concat_ws("/", F.col("level").cast("string"), "community"), ["running_cost", "level", "community"])

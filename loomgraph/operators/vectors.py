@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +24,19 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.2, key: str = "vec_id", vec: str = "embedding", most_queries: int = 100_000) -> DataFrame:
-    """query_id, key, score, rank: exact cosine top-k of every query over all vectors, those below the threshold left out.
+    """query_id, key, score, dense_order: exact cosine top-k of every query over all vectors, those below the threshold left out. The key
+    may be of any type that orders.
 
     queries: query_id, qvec - a stated set, whose size is checked; it is broadcast as one matrix. Each Arrow batch is one matrix
     product and keeps its own k best a query, so only k rows a query and batch are shuffled. Ties go to the smaller key."""
-    q = queries.select("query_id", "qvec").orderBy("query_id").limit(most_queries + 1).collect()
+    q = queries.select("query_id", "qvec").filter("qvec IS NOT NULL").orderBy("query_id").limit(most_queries + 1).collect()
     if len(q) > most_queries:
         raise ValueError("too many queries for one pass: run them in blocks")
     ids = [r.query_id for r in q]
     mat = unit(np.array([r.qvec for r in q], np.float64)) if q else np.zeros((0, 1))
     shared = vectors.sparkSession.sparkContext.broadcast(mat)
+    rows = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -40,20 +44,21 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.2,
             b = b.filter(b.column(1).is_valid())
             if not b.num_rows or not len(m):
                 continue
-            keys = np.asarray(b.column(0))
+            place = np.empty(b.num_rows, np.int64)
+            place[np.asarray(pc.sort_indices(b.column(0)))] = np.arange(b.num_rows)
             x = unit(np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1))
             for lo in range(0, len(m), 256):  # in blocks of queries
                 s = np.round(m[lo : lo + 256] @ x.T, 9)  # so that equal scores tie, whatever the order of sums
-                rows = []
+                hits = []
                 for i, r in enumerate(s):
-                    at = np.flatnonzero(r >= threshold - 1e-12)
+                    at = np.flatnonzero(r >= threshold)
                     if len(at) > k:
-                        at = at[np.lexsort((keys[at], -r[at]))[:k]]
-                    rows.append((np.full(len(at), lo + i), keys[at], r[at]))
-                n, kk, ss = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(kk, pa.int64()), pa.array(ss)], names=["q", "k", "score"])
+                        at = at[np.lexsort((place[at], -r[at]))[:k]]
+                    hits.append((np.full(len(at), lo + i), at, r[at]))
+                n, at, score = (np.concatenate(c) for c in zip(*hits, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), b.column(0).take(pa.array(at)), pa.array(score)], names=["q", "k", "score"])
 
-    hits = vectors.select(F.col(key).cast("bigint"), F.col(vec).cast("array<double>")).mapInArrow(run, "q bigint, k bigint, score double")
+    hits = rows.mapInArrow(run, f"q bigint, k {kind}, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "k")  # at most k rows a query and batch
     best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     names = vectors.sparkSession.createDataFrame(list(enumerate(ids)) or [], f"q bigint, query_id {queries.schema['query_id'].dataType.simpleString()}")

@@ -139,22 +139,16 @@ def extract_top_m(s, d):
 R.add("edge_cost", f"""WITH e AS (SELECT src, tgt, weight FROM {PS}), g AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM e UNION ALL SELECT tgt FROM e) GROUP BY 1),
   x AS (SELECT e.*, a.k + b.k AS ed FROM e JOIN g a ON a.node = e.src JOIN g b ON b.node = e.tgt), n AS (SELECT count(*) AS c FROM embeddings)
   SELECT query_id, src, tgt, round(1.0 * (1 - list_cosine_similarity(embedding::DOUBLE[], qvec)) + 0.15 * ed / (SELECT max(ed) FROM x) + 0.05 / (1 + weight), 6) AS cost
-  FROM x, n, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id < 3) JOIN embeddings v ON v.vec_id = substr(src, 2)::BIGINT % n.c""")(
-    lambda s, d: edge_cost_query(s, d)
+  FROM x, n, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id % 100 = 0) JOIN embeddings v ON v.vec_id = substr(src, 2)::BIGINT % n.c""")(
+    lambda s, d: edge_cost_query(s, d, _queries(s, d))
 )
 
 
-# The one above takes the three queries of its SQL; this one takes them all.
-R.add("edge_cost_whole")(lambda s, d: edge_cost_query(s, d, _queries(s, d)))
-
-
-def edge_cost_query(s, d, q=None):
+def edge_cost_query(s, d, q):
     e = part_supplier(s, d)
     v = table(s, d, "embeddings")
     n = v.agg(F.count("*").alias("c"))
     vec = e.select("src", "tgt").join(F.broadcast(n)).withColumn("vec_id", F.substring("src", 2, 20).cast("bigint") % F.col("c")).join(v, "vec_id").select("src", "tgt", F.col("embedding").alias("vec"))
-    if q is None:
-        q = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return graph.edge_costs(e, vec, q).withColumn("cost", F.round("cost", 6))
 
 
@@ -162,4 +156,15 @@ R.add("maxsim_rerank", f"""WITH q AS (SELECT label AS query_id, embedding::DOUBL
   b AS (SELECT query_id, doc, q.v AS qv, max(list_cosine_similarity(q.v, d.v)) AS m FROM q, d GROUP BY 1, 2, 3) SELECT query_id::BIGINT AS query_id, doc, round(sum(m), 6) AS rerank_score FROM b GROUP BY 1, 2""")(
     lambda s, d: vectors.maxsim(table(s, d, "embeddings").filter("vec_id % 100 = 0").groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.collect_list("embedding").alias("qt")).join(table(s, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("doc")).agg(F.collect_list("embedding").alias("dt")), how="cross"), "qt", "dt").select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"))
 )
-R.add("hashed_embeddings")(lambda s, d: vectors.embed(table(s, d, "unique_contexts"), "context_id", "context").select("context_id", F.size("vec").alias("dims"), F.array_join(F.transform(F.slice("vec", 1, 4), lambda x: F.round(x.cast("double"), 6).cast("string")), ",").alias("head")))
+
+
+def embedded(src: str, dims: int = 64) -> str:
+    """SQL: key, dim, x of (key, t): signed counts of words and pairs of words by hash."""
+    h = "('0x' || substr(md5(g), 1, 8))::BIGINT"
+    return f"""(SELECT key, {h} % {dims} AS dim, sum(CASE WHEN ({h} >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS x FROM (SELECT key, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g
+      FROM (SELECT key, regexp_extract_all(lower(t), '[\\pL\\pN]+') AS w FROM {src})) GROUP BY 1, 2)"""
+
+
+R.add("hashed_embeddings", f"SELECT key AS context_id, dim::INTEGER AS dim, x::INTEGER AS x FROM {embedded('(SELECT context_id AS key, context AS t FROM unique_contexts WHERE context IS NOT NULL)')} WHERE x <> 0")(
+    lambda s, d: vectors.embed(table(s, d, "unique_contexts"), "context_id", "context").select("context_id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("int")).filter("x <> 0")
+)

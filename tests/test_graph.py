@@ -209,7 +209,7 @@ def test_edge_costs_of_all_queries(spark, tmp_path):
     ends = {(p, s): degree[f"p{p}"] + degree[f"s{s}"] for p, s in weight}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
     want = {(q, f"p{p}", f"s{s}"): 1 - cos(vec[p], vec[q]) + 0.15 * ends[p, s] / max(ends.values()) + 0.05 / (1 + w) for q in (0, 100, 200, 300) for (p, s), w in weight.items()}
-    got = {(r.query_id, r.src, r.tgt): r.cost for r in catalog.QUERIES["edge_cost_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.query_id, r.src, r.tgt): r.cost for r in catalog.QUERIES["edge_cost"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=2e-6)
 
 
