@@ -171,22 +171,21 @@ def plain_findings(findings: Column) -> Column:
 def judge_object(c: Column) -> Column:
     """A judge's verdict as JSON text: the whole text if it is JSON, else what lies between its first and last brace, else null."""
     inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.when(valid_json(c), c).when(valid_json(inner), inner)
+    return F.when(normal_json(c).isNotNull(), c).when(normal_json(inner).isNotNull(), inner)
 
 
-def valid_json(c: Column) -> Column:
-    """Whether a text is JSON, repeated keys allowed (which a VARIANT refuses); NaN and infinities are none."""
+def normal_json(c: Column) -> Column:
+    """A text's JSON with each key once, the last one's value (a VARIANT refuses repeated keys); null where it is none, as with NaN."""
 
-    def one(t: str) -> bool:
+    def one(t: str | None) -> str | None:
         try:
-            json.loads(t, parse_constant=_refused)
+            return None if t is None else json.dumps(json.loads(t, parse_constant=_refused), ensure_ascii=False)
         except (ValueError, RecursionError):
-            return False
-        return True
+            return None
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t is not None and one(t)).astype(bool)
+        return pd.Series([one(t) for t in s], dtype=object)
 
     return run(c)
 
@@ -197,11 +196,11 @@ def _refused(name: str):
 
 def report_error(c: Column) -> Column:
     """Why a community report's JSON can't be used (null if it can); findings may be a list or a string that holds one."""
-    v = F.try_parse_json(c)
+    v = F.try_parse_json(normal_json(c))
     field = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     kind = lambda x: F.schema_of_variant(x)
     found = F.try_variant_get(v, "$.findings", "variant")
-    inner = F.try_parse_json(field("findings"))
+    inner = F.try_parse_json(normal_json(field("findings")))
     return (
         F.when(v.isNull() | ~kind(v).startswith("OBJECT") | (kind(v) == "OBJECT<>"), "unable to parse community report JSON")
         .when(F.coalesce(field("title"), F.lit("")) == "", "community report missing title")

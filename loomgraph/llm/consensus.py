@@ -32,9 +32,9 @@ from loomgraph.session import written
 
 #: Words for a tie, after folding (fixed by the export's spellings and their like).
 TIES = ("tie", "both", "equal", "same", "draw", "neither", "even")
-STEPS, TOLERANCE, SHRINK = 60, 1e-3, 5.0
+STEPS, TOLERANCE, SHRINK = 60, 3e-3, 5.0
 #: Added to the diagonal, so that the largest eigenvalue is the one of largest size.
-SHIFT = 0.1
+SHIFT = 0.02
 LOW, HIGH = -0.45, 0.97
 K = ("hi", "other", "tie")
 

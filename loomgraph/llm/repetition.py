@@ -15,6 +15,7 @@ retained. A text of one endless line is cut into blocks. Rows that occur twice a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ SIZE, SHARE, BLOCK = 5, 0.3, 25
 SAMPLE, WINDOW = 600, 100
 KEEP_AT = 0.7
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-_CUT = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\r\n\f]+")
+_CUT = re.compile(r"[.!?。！？]\s+|[。！？]|[\r\n\f]+")
 
 
 def lines_of(text: str) -> tuple[list[str], np.ndarray]:
@@ -45,29 +46,31 @@ def lines_of(text: str) -> tuple[list[str], np.ndarray]:
     return words, np.array(line, np.int64)
 
 
-def run_ids(words: list[str], size: int = SIZE) -> list[np.ndarray]:
-    """For n = 1 .. size an exact number of each run of n successive words: equal numbers mean equal runs."""
+def run_ids(words: list[str], size: int = SIZE) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(numbers of the words, and for the runs of 1, 3 and `size` words whether an equal run began before). Numbers are exact: equal
+    numbers mean equal runs. A run of n + k words, k <= n, is its first n words and its last n."""
     known: dict[str, int] = {}
     one = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-    out = [one]
-    for n in range(2, size + 1):
-        if len(words) < n:
-            out.append(np.zeros(0, np.int64))
-            continue
-        out.append(np.unique(out[-1][:-1] * len(known) + one[n - 1 :], return_inverse=True)[1].astype(np.int64))
-    return out
-
-
-def again(ids: np.ndarray) -> np.ndarray:
-    """For each run whether an equal one began before it."""
-    out = np.ones(len(ids), bool)
-    out[np.unique(ids, return_index=True)[1]] = False
+    ids, n, out = one, 1, [_again(np.unique(one, return_index=True)[1], len(one))]
+    while n < size:
+        k = 1 if n < 3 else min(n, size - n)  # 1, 2, 3, then up to twice as long each time
+        n += k
+        pair = ids[: max(0, len(ids) - k)] * (int(ids.max(initial=0)) + 1) + ids[k:]
+        _, first, ids = np.unique(pair, return_index=True, return_inverse=True)
+        if n in (3, size):
+            out.append(_again(first, len(pair)))
+    return one, out
+
+
+def _again(first: np.ndarray, n: int) -> np.ndarray:
+    out = np.ones(n, bool)
+    out[first] = False
     return out
 
 
 def repeats(words: list[str], size: int = SIZE) -> np.ndarray:
     """For each run of `size` words, whether an equal run began before it."""
-    return again(run_ids(words, size)[-1])
+    return run_ids(words, size)[1][-1]
 
 
 def _shares(line: np.ndarray, rep: np.ndarray, n: int) -> np.ndarray:
@@ -75,7 +78,7 @@ def _shares(line: np.ndarray, rep: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, rep, n) / np.maximum(np.bincount(at, minlength=n), 1)
 
 
-def features(line: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
+def features(line: np.ndarray, one: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
     """One row a line: bias, shares of its words, triples and runs of SIZE words met before, whole line met before, log length, first
     line."""
     n = int(line[-1]) + 1
@@ -84,10 +87,10 @@ def features(line: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
     met: set[bytes] = set()
     before = np.zeros(n)
     for i in range(n):
-        key = runs[0][start[i] : start[i] + size[i]].tobytes()
+        key = one[start[i] : start[i] + size[i]].tobytes()
         before[i] = key in met
         met.add(key)
-    return np.column_stack([np.ones(n), *(_shares(line, again(runs[k]), n) for k in (0, 2, len(runs) - 1)), before, np.log1p(size) / 4, np.arange(n) == 0])
+    return np.column_stack([np.ones(n), *(_shares(line, r, n) for r in runs), before, np.log1p(size) / 4, np.arange(n) == 0])
 
 
 class Chain:
@@ -157,8 +160,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     for r in rows:
         words, line = lines_of(r.t)
         if len(words) >= SIZE:
-            runs = run_ids(words)
-            x, y = features(line, runs), (_shares(line, again(runs[-1]), int(line[-1]) + 1) >= share / 2).astype(float)
+            one, runs = run_ids(words)
+            x, y = features(line, one, runs), (_shares(line, runs[-1], int(line[-1]) + 1) >= share / 2).astype(float)
             seqs += [(x[i : i + WINDOW], y[i : i + WINDOW]) for i in range(0, len(y), WINDOW)]
     return Chain.fit(seqs)
 
@@ -175,9 +178,8 @@ def measure(df: DataFrame, key: str = "doc_id", text: str = "text", chain: Chain
         words, line = lines_of(t or "")
         if len(words) < SIZE:
             return 0, 0.0, 1.0, int(line[-1]) + 1 if len(line) else 0, 0
-        runs = run_ids(words)
-        mark = chain.decode(features(line, runs))
-        met = again(runs[-1])
+        ids, runs = run_ids(words)
+        mark, met = chain.decode(features(line, ids, runs)), runs[-1]
         return len(met), float(met.sum()) / len(met), float(1 - np.bincount(line)[mark].sum() / len(words)), len(mark), int(mark.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
