@@ -175,11 +175,11 @@ def judge_object(c: Column) -> Column:
 
 
 def normal_json(c: Column) -> Column:
-    """A text's JSON with each key once, the last one's value (a VARIANT refuses repeated keys); null where it is none, as with NaN."""
+    """A text's JSON with each key once, the last one's value, and NaN as null (a VARIANT takes neither); null where it is no JSON."""
 
     def one(t: str | None) -> str | None:
         try:
-            return None if t is None else json.dumps(json.loads(t, parse_constant=_refused), ensure_ascii=False)
+            return None if t is None else json.dumps(json.loads(t, parse_constant=lambda _: None), ensure_ascii=False)
         except (ValueError, RecursionError):
             return None
 
@@ -190,10 +190,6 @@ def normal_json(c: Column) -> Column:
     return run(c)
 
 
-def _refused(name: str):
-    raise ValueError(name)
-
-
 def report_error(c: Column) -> Column:
     """Why a community report's JSON can't be used (null if it can); findings may be a list or a string that holds one."""
     v = F.try_parse_json(normal_json(c))
