@@ -32,7 +32,7 @@ ROUNDS = 4
 #: Bits of the quotient; 2^16 quotients are spread over the shards by Spark's exchange.
 QUOTIENT_BITS = 16
 #: Entries after which a table is emptied.
-TABLE = 1 << 19
+TABLE = 1 << 18
 NEVER = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 

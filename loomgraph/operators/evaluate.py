@@ -97,6 +97,13 @@ def flatten_decisions(decisions: DataFrame, key: str) -> DataFrame:
     )
 
 
+def flatten_searches(searches: DataFrame, key: str) -> DataFrame:
+    """What the tree searches of each record took: their number, mean and greatest iterations, hops and nodes of the candidate graph, and how
+    often the radius grew. searches: key, iterations, candidate_hops, candidate_nodes, radius_expanded."""
+    pair = lambda c, name: [F.avg(c).alias(f"mean_{name}"), F.max(c).alias(f"max_{name}")]
+    return searches.groupBy(key).agg(F.count("*").alias("searches"), *pair("iterations", "iterations"), *pair("candidate_hops", "hops"), *pair("candidate_nodes", "nodes"), F.count_if("radius_expanded").alias("radius_expanded"))
+
+
 def judge_summary(df: DataFrame, group: list[str], outcome: Column, valid: Column) -> DataFrame:
     """valid, wins, losses, ties and rates. Rows with a parse error leave the denominator; unknown outcomes stay in it."""
     x = df.select(*group, outcome.alias("o"), valid.alias("ok"))
@@ -245,5 +252,5 @@ def rates_from_markdown(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     head = F.when(F.col("line").rlike("^## "), F.trim(F.substring("line", 4, 1 << 30)))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.withColumn("variant", F.last(head, True).over(w)).withColumn("win_rate", F.regexp_extract("line", r"(?i)win rate: *\**([0-9.]+)", 1).try_cast("double"))
+    x = lines.withColumn("variant", F.last(head, True).over(w)).withColumn("win_rate", F.regexp_extract("line", r"(?i)win rate:[\s*]*([0-9.]+)", 1).try_cast("double"))
     return x.filter("variant IS NOT NULL AND win_rate IS NOT NULL").select(key, "variant", "win_rate")

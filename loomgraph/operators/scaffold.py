@@ -25,7 +25,7 @@ def upsert_entities(mentions: DataFrame) -> DataFrame:
 def upsert_relations(mentions: DataFrame) -> DataFrame:
     """src <= tgt, weight (sum), description (of the first mention), chunks (each once, in order).
     mentions: pos, src_id, tgt_id, description, weight, chunks array."""
-    m = mentions.select("pos", F.least("src_id", "tgt_id").alias("src"), F.greatest("src_id", "tgt_id").alias("tgt"), "description", "weight", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks")).filter("src IS NOT NULL AND tgt IS NOT NULL")
+    m = mentions.filter("src_id IS NOT NULL AND tgt_id IS NOT NULL").select("pos", F.least("src_id", "tgt_id").alias("src"), F.greatest("src_id", "tgt_id").alias("tgt"), "description", "weight", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
     return m.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.min_by("description", "pos").alias("description"), _in_order("chunks").alias("chunks"))
 
 

@@ -3,8 +3,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import records as fr
 from loomgraph.operators import chunking, extract
 
-C = "("
-REC = '("entity"<|>"Compost"<|>"concept"<|>"Compost is organic matter.")##("entity"<|>"Soil Health"<|>"concept"<|>"Soil health is soil quality.")##("relationship"<|>"Compost"<|>"Soil Health"<|>"Compost improves soil health."<|>8)<|COMPLETE|>'
+REC = '("entity"<|>"Windmill"<|>"building"<|>"A windmill grinds corn.")##("entity"<|>"Mill Pond"<|>"water"<|>"The pond feeds the wheel.")##("relationship"<|>"Windmill"<|>"Mill Pond"<|>"The mill stands by the pond."<|>2.5)<|COMPLETE|>'
 
 
 def one(spark, expr):
@@ -14,9 +13,9 @@ def one(spark, expr):
 def test_records(spark):
     df = spark.createDataFrame([("chunk-1", REC), ("chunk-2", None), ("chunk-3", "")], "k string, t string")
     e = extract.parse_entities(df, "k", "t").collect()
-    assert [r.entity_name for r in e] == ['"COMPOST"', '"SOIL HEALTH"']
+    assert [r.entity_name for r in e] == ['"WINDMILL"', '"MILL POND"']
     r = extract.parse_relations(df, "k", "t").collect()
-    assert [(x.src_id, x.tgt_id, x.weight) for x in r] == [('"COMPOST"', '"SOIL HEALTH"', 8.0)]
+    assert [(x.src_id, x.tgt_id, x.weight) for x in r] == [('"WINDMILL"', '"MILL POND"', 2.5)]
 
 
 def test_scalars(spark):
@@ -31,8 +30,20 @@ def test_scalars(spark):
     assert fr.first_object('x {"a": {"b": 1}} {"c": 2}') == '{"a": {"b": 1}}'
     assert fr.first_object("{bad") is None
     assert fr.lenient_pairs('title: "x y", n: 3, ok: true') == '{"title": "x y", "n": 3, "ok": true}'
-    s = fr.best_window("Rain falls. Soil moisture sensors guide irrigation. Sheep graze.", "soil moisture", 45)
-    assert "Soil moisture sensors" in s and len(s) <= 45
+    s = fr.best_window("Clouds drift over. Bees carry pollen to the orchard. A cart waits.", "pollen for the orchard", 40)
+    assert s == "Bees carry pollen to the orchard."
+    assert fr.best_window("one two", "", 3) == "one" and fr.best_window("short", "short", 9) == "short"
+    assert fr.lenient_pairs("a: {b: 1, c: {d: x}}, e: 2.5") == '{"a": {"b": 1, "c": {"d": "x"}}, "e": 2.5}'
+    assert one(spark, fr.decode_tokens(fr.tokens(F.lit(" a  b ")))) == "a b"
+    assert one(spark, fr.text_unit_content(F.lit("Clouds drift. Bees carry pollen."), F.lit("pollen"), 20, True)) == "Bees carry pollen. ..."
+    assert one(spark, fr.text_unit_content(F.lit("abcdef"), None, 3)) == "abc ..." and one(spark, fr.text_unit_content(F.lit("abc"))) == "abc"
+    assert one(spark, fr.report_markdown(F.lit("t"), F.lit("s"), fr.plain_findings(F.array(F.lit("x"))))) == "# t\n\ns\n\n## x\n\n"
+    assert one(spark, fr.retrieval_seconds(F.lit("a [Retrieval Time: 1.5 seconds] b"))) == 1.5
+    assert one(spark, fr.first_of_sep(F.lit("a<SEP>b"))) == "a"
+    assert one(spark, fr.edge_text(F.lit("a"), F.lit(None).cast("string"), F.lit("b"), F.lit("B"), F.lit("r"))) == "source: a\n\nrelation: r\ntarget: b\nB"
+    report = '{"title": "t", "summary": "s", "findings": "[{\\"summary\\": \\"f\\", \\"explanation\\": \\"e\\"}]"}'
+    assert [tuple(x) for x in one(spark, fr.report_findings(F.lit(report)))] == [("f", "e")]
+    assert one(spark, fr.repaired_json(F.lit("x: 1"))) == '{"x": 1}'
 
 
 def test_windows(spark):
@@ -53,6 +64,29 @@ def test_separator_chunks_and_batches(spark):
     assert [r["count"] for r in sizes] == [2, 1]
 
 
+def test_chunks_last_document_wins(spark):
+    docs = spark.createDataFrame([("doc-b", 1, "same words"), ("doc-a", 2, "same words"), ("doc-c", None, "other")], "doc_key string, first_id int, content string")
+    c = {r.content: r.full_doc_id for r in chunking.chunks(docs).collect()}
+    assert c == {"same words": "doc-a", "other": "doc-c"}
+    letters = lambda df, text, keep: df.select(*keep, F.posexplode(F.split(text, " ")).alias("chunk_order_index", "content")).withColumn("tokens", F.lit(1).cast("bigint"))
+    assert {r.content for r in chunking.chunks(docs, chunker=letters).collect()} == {"same", "words", "other"}
+
+
+def test_cooccurrence_in_blocks(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice("abcdefghijkl")) for k in range(9) for _ in range(k * 2)] + [(None, "a"), (None, "b")]
+    want = {}
+    for k in range(9):
+        for p in itertools.combinations(sorted({n for j, n in rows if j == k}), 2):
+            want[p] = want.get(p, 0) + 1.0
+    df = spark.createDataFrame(rows, "doc int, name string")
+    for block in (2, 3, 256):
+        assert {(r.src, r.tgt): r.weight for r in extract.cooccurrence(df, "doc", block).collect()} == want
+
+
 def test_budget(spark):
     df = spark.createDataFrame([("q", 1, 5), ("q", 2, 5), ("q", 3, 1), ("r", 1, 11)], "q string, o int, t int")
     assert sorted((r.q, r.o) for r in chunking.token_budget(df, ["q"], ["o"], "t", 10).collect()) == [("q", 1), ("q", 2)]
