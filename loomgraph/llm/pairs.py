@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -51,9 +52,12 @@ MOST = 6.0
 LANGUAGES = ("de", "en", "es", "fr", "ru", "zh")
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
 def grams(text: str) -> np.ndarray:
     """Hashes of the character 1- to 3-grams of a text's letters."""
-    t = regex.sub(r"[^\p{L}]+", " ", text.lower())
+    t = _NO_LETTER.sub(" ", text.lower())
     c = np.frombuffer(f" {t.strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     out = [c * np.uint64(0x9E3779B1)]
     for n in (2, 3):
@@ -69,7 +73,8 @@ class Languages:
     """Multinomial naive Bayes over hashed character n-grams."""
 
     def __init__(self, names: list[str], table: np.ndarray):
-        self.names, self.table, self.margin = names, table, LANG_MARGIN
+        self.names, self.margin = names, LANG_MARGIN
+        self.rows = np.ascontiguousarray(table.T)  # by gram, then language
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]]) -> Languages:
@@ -80,10 +85,10 @@ class Languages:
             counts = np.full((len(names), 1 << GRAM_BITS), 0.02)
             for lang, g in kept:
                 counts[names.index(lang)] += np.bincount(g, minlength=1 << GRAM_BITS)
-            model.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-            model.table = np.maximum(model.table, model.table.max(0) - MOST)  # one gram, met or not, decides nothing
+            table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+            model.rows = np.ascontiguousarray(np.maximum(table, table.max(0) - MOST).T)  # one gram, met or not, decides nothing
             if turn == 0:
-                kept = [(lang, g) for lang, g in kept if names[int(model.table[:, g].sum(1).argmax())] == lang]
+                kept = [(lang, g) for lang, g in kept if names[int(model.rows[g].sum(0).argmax())] == lang]
         return model
 
     @classmethod
@@ -103,7 +108,7 @@ class Languages:
         return model
 
     def scores(self, text: str) -> np.ndarray:
-        return self.table[:, grams(text)].sum(1).astype(float)
+        return self.rows[grams(text)].sum(0).astype(float)
 
 
 def fit_languages(documents: DataFrame) -> Languages:
@@ -115,7 +120,6 @@ def fit_languages(documents: DataFrame) -> Languages:
 
 
 _QUOTED = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|\"[^\"\n]{3,}\"|“[^”\n]{3,}”|«[^»\n]{3,}»|„[^“”\n]{3,}[“”]", regex.S)
-_LETTER = regex.compile(r"\p{L}")
 #: Log odds by which a response must prefer its language to the prompt's by letter.
 LANG_RATE = 0.12
 
@@ -124,9 +128,9 @@ def other_language(model: Languages, query: str, answer: str) -> bool:
     """Whether the posteriors of prompt and response have no language in common. A text of few letters has flat posteriors, so that it
     shares a language with almost any other."""
     prose = _QUOTED.sub(" ", answer)
-    if 2 * len(_LETTER.findall(prose)) < len(_LETTER.findall(answer)):
-        prose = answer
-    letters = len(_LETTER.findall(prose))
+    letters, all_ = sum(map(str.isalpha, prose)), sum(map(str.isalpha, answer))
+    if 2 * letters < all_:
+        prose, letters = answer, all_
     if not letters:
         return False
     a, q = model.scores(prose), model.scores(query)
@@ -381,10 +385,27 @@ REFUSAL_BITS = 18
 _GRAM = regex.compile(r"\p{Han}|[\p{L}\p{M}]+|\p{N}+")
 
 
+class Known(dict):
+    """Hashes of texts computed once each, up to a bound."""
+
+    def __init__(self, bits: int):
+        super().__init__()
+        self.mask = (1 << bits) - 1
+
+    def __missing__(self, g: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        h = self[g] = xxhash.xxh3_64_intdigest(g.encode()) & self.mask
+        return h
+
+
+_known = Known(REFUSAL_BITS)
+
+
 def refusal_grams(answer: str) -> np.ndarray:
     """Hashes of a response's distinct words and pairs of words."""
     w = ["0" if t[0].isdigit() else t for t in _GRAM.findall(answer.replace("’", "'").lower())]
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g.encode()) & ((1 << REFUSAL_BITS) - 1) for g in (*w, *map(" ".join, zip(w, w[1:], strict=False)))), np.int64))
+    return np.fromiter({_known[g] for g in (*w, *map(" ".join, zip(w, w[1:], strict=False)))}, np.int64)
 
 
 class Refusals:
