@@ -177,7 +177,11 @@ def _counts(ix: retrieval.Index):
 
 R.add("community_reports")(lambda s, d: index_of(s, d).reports)
 R.add("packed_descriptions")(lambda s, d: (lambda ix: community.packed_descriptions(ix.members, ix.nodes, ix.edges, 400))(index_of(s, d)))
-R.add("budget_attempts")(lambda s, d: _attempts(s, d))
+_RUN = lambda frm, order: f"(SELECT query_id, tokens, sum(tokens) OVER (PARTITION BY query_id ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS running FROM {frm})"
+_HEAD = _LOCAL[: _LOCAL.rindex("SELECT query_id, 'entities' AS section")].rstrip()
+R.add("budget_attempts", f"""{_HEAD}, al AS (SELECT * FROM {_RUN('le', 'ed DESC, weight DESC, src, tgt')} WHERE running <= 20000 UNION ALL SELECT * FROM {_RUN('tu', 'dense_order, relations DESC, chunk_id')} WHERE running <= 20000),
+  tr AS (SELECT i AS attempt, 0.7::DOUBLE ** (i - 1) AS scale FROM (SELECT unnest(range(1, 6))::INTEGER AS i)), x AS (SELECT query_id, attempt, scale, coalesce(sum(tokens) FILTER (WHERE running <= floor(20000 * scale)), 0)::BIGINT AS total FROM al, tr GROUP BY 1, 2, 3)
+  SELECT query_id, attempt, round(scale, 9) AS scale, total, total <= 9000 AS within FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total <= 9000 DESC, CASE WHEN total <= 9000 THEN attempt ELSE -attempt END) = 1""")(lambda s, d: _attempts(s, d).withColumn("scale", F.round("scale", 9)))
 
 
 def _attempts(s, d):
