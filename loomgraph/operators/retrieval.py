@@ -128,8 +128,9 @@ def text_units(ix: Index, hits: DataFrame, o: QueryOptions) -> DataFrame:
     """Chunks that cite the hits: by the first hit that cites them, then by how many of its edges' other ends also cite them."""
     w = Window.partitionBy("query_id", "chunk_id").orderBy("dense_order", "node")
     first = hits.join(ix.mentions, "node").withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", "chunk_id", "node", "dense_order")
-    near = graph.both_ways(ix.edges.select("src", "tgt")).select(F.col("u").alias("node"), "v")
-    rel = first.join(near, "node").join(ix.mentions.select(F.col("node").alias("v"), "chunk_id"), ["v", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("relations"))
+    # from the chunks to all that they mention and then to the edges: a chunk mentions few, a hit may have very many edges
+    both = first.join(ix.mentions.select(F.col("node").alias("v"), "chunk_id"), "chunk_id").select("query_id", "chunk_id", F.least("node", "v").alias("src"), F.greatest("node", "v").alias("tgt"))
+    rel = both.join(ix.edges.select("src", "tgt"), ["src", "tgt"], "left_semi").groupBy("query_id", "chunk_id").agg(F.count("*").alias("relations"))
     x = first.join(rel, ["query_id", "chunk_id"], "left").fillna(0, ["relations"]).join(ix.chunks, "chunk_id")
     return chunking.token_budget(x, ["query_id"], ["dense_order", F.desc("relations"), "chunk_id"], "tokens", o.text_budget)
 
