@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions.records import prefixed_id, tokens, trim_ws
+from loomgraph.operators.order import positions
+from loomgraph.session import cut
+
+#: Items of a shard of batches where none is given.
+SHARD = 1 << 17
 
 
 def dedupe_documents(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -94,7 +99,8 @@ def dataset_stats(df: DataFrame, text: str, label: list[str]) -> DataFrame:
 
 def greedy_batches(df: DataFrame, key: str, cost: str, most_cost: int, most_items: int, shard: str | None = None) -> DataFrame:
     """Batch numbers for items in order of key: a batch closes before the item that would take it over a bound. Resetting
-    sums are sequential, so this runs once per shard (or per partition of a range-partitioned table), never over all rows."""
+    sums are sequential, so they run inside shards: the given column, or else every SHARD items of the one global order, whatever the
+    number of partitions. Items without a cost are left out."""
 
     def run(batches):
         n, total, items, before = 0, 0, 0, None
@@ -109,14 +115,31 @@ def greedy_batches(df: DataFrame, key: str, cost: str, most_cost: int, most_item
                 out.append(n)
             yield pdf.assign(batch_no=out)
 
-    src = df.withColumn("__shard", F.col(shard).cast("string") if shard else F.lit("")).filter(F.col(cost).isNotNull())
-    src = src.repartition("__shard").sortWithinPartitions("__shard", key) if shard else src.repartitionByRange(key).sortWithinPartitions(key).withColumn("__shard", F.spark_partition_id().cast("string"))
+    src = df.filter(F.col(cost).isNotNull())
+    src = src.withColumn("__shard", F.col(shard).cast("string")) if shard else positions(src, [F.asc(key)], "__pos").withColumn("__shard", F.floor(F.col("__pos") / SHARD).cast("string")).drop("__pos")
+    src = src.repartition("__shard").sortWithinPartitions("__shard", key)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     return src.mapInPandas(run, f"{fields}, batch_no bigint").withColumnRenamed("__shard", "batch_shard")
 
 
-def token_budget(df: DataFrame, group: list[str], order: list, cost: str, budget) -> DataFrame:
+def token_budget(df: DataFrame, group: list[str], order: list, cost: str, budget, split: bool = False) -> DataFrame:
     """The prefix of each ranked list whose running cost stays within the budget: it ends before the first item that overflows,
-    so a first item beyond the budget gives nothing."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_cost", F.sum(cost).over(w)).filter(F.col("running_cost") <= budget)
+    so a first item beyond the budget gives nothing. A null cost counts 0.
+
+    With split a list is spread over tasks by ranges of its order (which should end with a unique column), and running costs are two-level, so
+    that a group may hold any share of the rows."""
+    if not split:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("running_cost", F.sum(F.coalesce(F.col(cost), F.lit(0))).over(w)).filter(F.col("running_cost") <= budget)
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = cut(df.repartitionByRange(parts, *group, *order).withColumn("__part", F.spark_partition_id()))
+    sums = x.groupBy(*group, "__part").agg(F.sum(F.coalesce(F.col(cost), F.lit(0))).alias("__n"))
+    ahead = sums.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row for each group and part
+    ahead = ahead.filter(F.col("__ahead") <= budget)
+    same = F.col("__part") == F.col("__p")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    w = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(ahead, same).withColumn("running_cost", F.col("__ahead") + F.sum(F.coalesce(F.col(cost), F.lit(0))).over(w))
+    return x.filter(F.col("running_cost") <= budget).drop("__part", "__p", "__ahead", *[f"__{g}" for g in group])

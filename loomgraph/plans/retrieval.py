@@ -157,6 +157,7 @@ _MODE_SQL = {"naive": _NAIVE, "hi_local": _LOCAL}
 for _m in retrieval.MODES:
     R.add(f"mode_{_m}", _MODE_SQL.get(_m))(_mode(_m))
 
+R.add("mode_queries", "SELECT answer_id::VARCHAR AS query_id, query FROM answers WHERE answer_id % 100 = 0 AND query IS NOT NULL")(lambda s, d: query_vectors(s, d).select("query_id", "query"))
 R.add("index_counts", f"WITH {_INDEX} SELECT 'chunks' AS name, count(*) AS n FROM ch UNION ALL SELECT 'nodes', count(*) FROM nod UNION ALL SELECT 'edges', count(*) FROM edg UNION ALL SELECT 'mentions', count(*) FROM men")(lambda s, d: _counts(index_of(s, d)))
 R.add("index_community_counts")(lambda s, d: evaluate_levels(index_of(s, d)))
 

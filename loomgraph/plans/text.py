@@ -56,7 +56,7 @@ R.add("unique_contexts_first", """SELECT md5(context) AS context_md5, min(contex
 )
 R.add("token_budget_prefix", f"""SELECT doc_id, source, running_cost FROM (SELECT doc_id, source, sum(t) OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_cost
   FROM (SELECT doc_id, source, n_chars, len({WORDS('text')}) AS t FROM documents)) WHERE running_cost <= 20000""")(
-    lambda s, d: chunking.token_budget(table(s, d, "documents").select("doc_id", "source", "n_chars", fr.n_tokens(F.col("text")).alias("t")), ["source"], [F.desc_nulls_last("n_chars"), "doc_id"], "t", 20000).select("doc_id", "source", "running_cost")
+    lambda s, d: chunking.token_budget(table(s, d, "documents").select("doc_id", "source", "n_chars", fr.n_tokens(F.col("text")).alias("t")), ["source"], [F.desc_nulls_last("n_chars"), "doc_id"], "t", 20000, True).select("doc_id", "source", "running_cost")
 )
 R.add("greedy_batches")(lambda s, d: chunking.greedy_batches(table(s, d, "text_chunks").select("chunk_id", "document_id", fr.n_tokens(F.col("text")).alias("t")), "chunk_id", "t", 50_000, 512).select("chunk_id", "batch_shard", "batch_no"))
 

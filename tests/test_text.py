@@ -91,3 +91,7 @@ def test_budget(spark):
     df = spark.createDataFrame([("q", 1, 5), ("q", 2, 5), ("q", 3, 1), ("r", 1, 11)], "q string, o int, t int")
     assert sorted((r.q, r.o) for r in chunking.token_budget(df, ["q"], ["o"], "t", 10).collect()) == [("q", 1), ("q", 2)]
     assert chunking.token_budget(df, ["q"], ["o"], "t", 0).count() == 0
+    big = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id % 2) AS q", "id AS o", "cast(id % 5 AS bigint) AS t", "1 AS cost")
+    for budget in (0, 3, 700, 10**9):
+        one, two = (sorted((str(r.q), r.o, r.running_cost) for r in chunking.token_budget(big, ["q"], [F.desc("o")], "t", budget, split).collect()) for split in (False, True))
+        assert one == two
