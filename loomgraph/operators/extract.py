@@ -41,6 +41,12 @@ def regex_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.posexplode(fr.entity_names(F.col(text))).alias("pos", "name"))
 
 
+def chunk_entities(mentions: DataFrame, key: str) -> DataFrame:
+    """key, names: the distinct names of each chunk in order of first mention. mentions: key, pos, name; a chunk bounds its names."""
+    first = mentions.filter(F.col("name").isNotNull()).groupBy(key, "name").agg(F.min("pos").alias("pos"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+
+
 def cooccurrence(mentions: DataFrame, key: str, block: int = 256) -> DataFrame:
     """src < tgt, weight: the number of texts in which both names stand. A text's names are cut into blocks by hash, as many as its number of
     names asks for, and every two blocks meet in a row of their own: no row holds more than about 2 x `block` names, however

@@ -58,7 +58,9 @@ R.add("token_budget_prefix", f"""SELECT doc_id, source, running_cost FROM (SELEC
   FROM (SELECT doc_id, source, n_chars, len({WORDS('text')}) AS t FROM documents)) WHERE running_cost <= 20000""")(
     lambda s, d: chunking.token_budget(table(s, d, "documents").select("doc_id", "source", "n_chars", fr.n_tokens(F.col("text")).alias("t")), ["source"], [F.desc_nulls_last("n_chars"), "doc_id"], "t", 20000, True).select("doc_id", "source", "running_cost")
 )
-R.add("greedy_batches")(lambda s, d: chunking.greedy_batches(table(s, d, "text_chunks").select("chunk_id", "document_id", fr.n_tokens(F.col("text")).alias("t")), "chunk_id", "t", 50_000, 512).select("chunk_id", "batch_shard", "batch_no"))
+_FULL = "(r.total + o.t > 50000 OR r.items >= 512)"
+R.add("greedy_batches", f"""WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY chunk_id) AS n, chunk_id, len({WORDS('text')})::BIGINT AS t FROM text_chunks), r(n, chunk_id, b, total, items) AS (SELECT n, chunk_id, 0::BIGINT, t, 1 FROM o WHERE n = 1
+  UNION ALL SELECT o.n, o.chunk_id, r.b + CASE WHEN {_FULL} THEN 1 ELSE 0 END, CASE WHEN {_FULL} THEN o.t ELSE r.total + o.t END, CASE WHEN {_FULL} THEN 1 ELSE r.items + 1 END FROM r JOIN o ON o.n = r.n + 1) SELECT chunk_id, '0' AS batch_shard, b AS batch_no FROM r""")(lambda s, d: chunking.greedy_batches(table(s, d, "text_chunks").select("chunk_id", "document_id", fr.n_tokens(F.col("text")).alias("t")), "chunk_id", "t", 50_000, 512).select("chunk_id", "batch_shard", "batch_no"))
 
 R.add("entity_mentions", f"""SELECT doc_id, name, 'ent-' || md5(name) AS entity_id FROM {NAMES}""")(
     lambda s, d: extract.regex_entities(table(s, d, "documents"), "doc_id", "text").select("doc_id", "name", fr.prefixed_id("ent", F.col("name")).alias("entity_id"))
@@ -105,3 +107,7 @@ R.add("custom_ids", """SELECT delivery_id, replace(replace(run_id, '|', '_'), '
   string_split(custom_id, '|')[1] AS stage, CASE WHEN len(string_split(custom_id, '|')) >= 3 THEN string_split(custom_id, '|')[2] END AS query_part FROM retrieval_trace_metrics WHERE custom_id IS NOT NULL""")(
     lambda s, d: table(s, d, "retrieval_trace_metrics").filter("custom_id IS NOT NULL").select("delivery_id", fr.custom_id(F.col("run_id"), F.coalesce("query_id", F.lit(-1)), F.coalesce("variant", F.lit(""))).alias("built"), F.get(F.split("custom_id", r"\|"), F.lit(0)).alias("stage"), F.when(F.size(F.split("custom_id", r"\|")) >= 3, F.get(F.split("custom_id", r"\|"), F.lit(1))).alias("query_part"))
 )
+
+R.add("chunk_entity_names", f"""SELECT doc_id, md5(string_agg(n, '|' ORDER BY i)) AS names FROM (SELECT doc_id, n, min(i) AS i FROM (SELECT doc_id, unnest(x) AS n, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{ENT}') AS x FROM documents)) WHERE n NOT IN ({ENT_STOP}) GROUP BY 1, 2) GROUP BY 1""")(
+    lambda s, d: extract.chunk_entities(extract.regex_entities(table(s, d, "documents"), "doc_id", "text"), "doc_id").select("doc_id", F.md5(F.array_join("names", "|")).alias("names"))
+)

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import batchio, evaluate, graph, limits, paths, retrieval, scaffold, summaries, vectors
+from loomgraph.operators import batchio, community, evaluate, graph, limits, paths, retrieval, scaffold, summaries, vectors
 from loomgraph.operators.order import positions
 from loomgraph.sources import files, stores
 from loomgraph.streaming import incremental
@@ -182,6 +182,31 @@ def test_batches(spark):
         limits.variants(["nothing"])
 
 
+def test_packed_descriptions(spark):
+    m = spark.createDataFrame([(0, "c", f"n{i}") for i in range(6)] + [(0, "small", "x")], "level int, community string, node string")
+    n = spark.createDataFrame([(f"n{i}", 10) for i in range(6)] + [("x", 3)], "entity_name string, tokens int")
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 10) for i in range(5)], "src string, tgt string, tokens int")
+    plain = {r.community: r for r in community.packed_descriptions(m, n, e, 60).collect()}
+    assert (plain["c"].n_nodes, plain["c"].n_edges, plain["c"].truncated) == (3, 3, True) and (plain["small"].n_nodes, plain["small"].truncated) == (1, False)
+    r = spark.createDataFrame([(0, "c", "d", 20, 1.0), (0, "c", "e", 10, 0.5), (0, "c", "f", 90, 0.4), (0, "small", "g", 5, 1.0)], "level int, parent string, child string, tokens int, occurrence double")
+    led = {x.community: x for x in community.packed_descriptions(m, n, e, 60, r).collect()}
+    assert (led["c"].n_nodes, led["c"].n_edges, led["c"].used_tokens) == (1, 1, 50)  # two reports of 30 tokens, then 15 each for nodes and edges
+    assert led["small"].used_tokens == plain["small"].used_tokens == 3
+
+
+def test_command_line(capsys):
+    from loomgraph.__main__ import main
+
+    main(["list"])
+    assert "mode_hi" in capsys.readouterr().out.split()
+    main(["sizes", "/root/testdata/sf0.001"])
+    assert "| region | 5 |" in capsys.readouterr().out
+    main(["run", "edge_degree_rank", "/root/testdata/sf0.001", "--limit", "2"])
+    assert len(capsys.readouterr().out.strip().splitlines()) == 4
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "x"])
+
+
 def test_streams(spark, tmp_path):
     day = lambda h: dt.datetime(2026, 1, 1, h)
     df = spark.createDataFrame([("r", " A", day(1), "s", 1.0), ("r", "a", day(2), "s", 2.0), ("r", None, day(2), "t", 3.0), ("r", None, day(2), "t", 4.0)], "run_id string, custom_id string, at timestamp, stage string, v double")
