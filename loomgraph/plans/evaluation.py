@@ -109,18 +109,6 @@ R.add("event_stage_shares", """SELECT event_type AS stage, round(sum(value) / su
 R.add("telemetry_windows", """SELECT date_trunc('hour', ts) AS hour, event_type AS stage, count(*) AS calls, round(sum(value), 6) AS latency_sum FROM events GROUP BY 1, 2""")(
     lambda s, d: table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 6).alias("latency_sum"))
 )
-R.add("text_units_ranked", """WITH h AS (SELECT label AS entity, vec_id AS chunk FROM embeddings), e AS (SELECT a.entity AS u, b.entity AS v, a.chunk FROM h a JOIN h b ON a.chunk // 5 = b.chunk // 5 AND a.entity <> b.entity)
-  SELECT chunk, min(u)::BIGINT AS first_entity, count(DISTINCT v) AS relation_counts FROM e GROUP BY 1""")(
-    lambda s, d: text_units(s, d)
-)
-
-
-def text_units(s, d):
-    h = table(s, d, "embeddings").select(F.col("label").alias("entity"), F.col("vec_id").alias("chunk"), F.floor(F.col("vec_id") / 5).alias("g"))
-    e = h.join(h.select(F.col("entity").alias("v"), "g"), "g").filter("entity <> v")
-    return e.groupBy("chunk").agg(F.min("entity").cast("bigint").alias("first_entity"), F.count_distinct("v").alias("relation_counts"))
-
-
 R.add("related_communities_vote", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
   h AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], qv) DESC, vec_id) AS r FROM embeddings, q WHERE list_cosine_similarity(embedding::DOUBLE[], qv) >= 0.2),
   v AS (SELECT query_id, label::BIGINT AS community, count(*) AS hits FROM h WHERE r <= 20 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, community) AS rank FROM v""")(

@@ -193,3 +193,30 @@ def _attempts(s, d):
     t = text_units(ix, h, o).select("query_id", F.lit("sources").alias("section"), "running_cost", "tokens", F.lit(o.text_budget).alias("budget"))
     e = local_edges(ix, h, o).select("query_id", F.lit("relations").alias("section"), "running_cost", "tokens", F.lit(o.local_budget).alias("budget"))
     return retrieval.shrunk_attempts(t.unionByName(e), 9000)
+
+
+# ---------------------------------------------------------------- sections over given communities: the labels of vectors
+
+_LABEL_HITS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], qv), 9) DESC, vec_id) - 1 AS d FROM embeddings, q WHERE list_cosine_similarity(embedding::DOUBLE[], qv) >= 0.2 QUALIFY d < 20)"""
+_REPORTS = "(SELECT label, CASE WHEN label % 4 = 3 THEN NULL ELSE (label % 3)::DOUBLE END AS rating, 100 * (label + 1) AS tokens FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL))"
+
+
+class Labelled:
+    """What key_entities and communities need of an index, with the labels of vectors as communities."""
+
+    def __init__(self, s, d):
+        e = table(s, d, "embeddings").filter("label IS NOT NULL")
+        self.members = e.select(F.lit(0).alias("level"), F.col("label").cast("string").alias("community"), F.col("vec_id").cast("string").alias("node"))
+        label = e.select("label").distinct()
+        self.reports = label.select(F.lit(0).alias("level"), F.col("label").cast("string").alias("community"), F.when(F.col("label") % 4 != 3, (F.col("label") % 3).cast("double")).alias("rating"), (100 * (F.col("label") + 1)).alias("tokens"))
+        q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+        self.hits = vectors.topk(table(s, d, "embeddings"), q, 20).withColumn("node", F.col("vec_id").cast("string"))
+
+
+R.add("key_entities", f"WITH {_LABEL_HITS}, m AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d) AS n FROM h WHERE label IS NOT NULL) SELECT query_id, string_agg(vec_id::VARCHAR, '>' ORDER BY d) AS keys FROM m WHERE n <= 2 GROUP BY 1")(
+    lambda s, d: (lambda x: retrieval.key_entities(x, x.hits, retrieval.QueryOptions(top_m=2)).withColumn("keys", F.array_join("keys", ">")))(Labelled(s, d))
+)
+R.add("related_communities", f"""WITH {_LABEL_HITS}, v AS (SELECT query_id, label, count(*) AS hits FROM h WHERE label IS NOT NULL GROUP BY 1, 2), r AS (SELECT query_id, label::VARCHAR AS community, hits, sum(tokens) OVER (PARTITION BY query_id ORDER BY hits DESC, coalesce(rating, -1) DESC, label::VARCHAR ROWS UNBOUNDED PRECEDING)::BIGINT AS running_cost FROM v JOIN {_REPORTS} USING (label))
+  SELECT * FROM r WHERE running_cost <= 900""")(
+    lambda s, d: (lambda x: retrieval.communities(x, x.hits, retrieval.QueryOptions(community_budget=900)).select("query_id", "community", "hits", "running_cost"))(Labelled(s, d))
+)
