@@ -115,6 +115,9 @@ def csv_row(*cells: Column) -> Column:
     return F.concat_ws(",\t", *cells)
 
 
+# Fixed formats: the texts of entities and edges that are embedded.
+
+
 def entity_text(name: Column, kind: Column, description: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(name, F.lit("")), F.concat(F.lit("type: "), F.coalesce(kind, F.lit("UNKNOWN"))), F.concat(F.lit("description: "), F.coalesce(description, F.lit(""))))
 
@@ -190,6 +193,11 @@ def normal_json(c: Column) -> Column:
     return run(c)
 
 
+# What is said of a community report that can't be used.
+NO_REPORT, NO_TITLE, NO_SUMMARY = "unable to parse community report JSON", "community report missing title", "community report missing summary"
+NO_JSON_FINDINGS, NO_FINDINGS = "community report findings is not a JSON list", "community report findings is not a list"
+
+
 def report_error(c: Column) -> Column:
     """Why a community report's JSON can't be used (null if it can); findings may be a list or a string that holds one."""
     v = F.try_parse_json(normal_json(c))
@@ -198,11 +206,11 @@ def report_error(c: Column) -> Column:
     found = F.try_variant_get(v, "$.findings", "variant")
     inner = F.try_parse_json(normal_json(field("findings")))
     return (
-        F.when(v.isNull() | ~kind(v).startswith("OBJECT") | (kind(v) == "OBJECT<>"), "unable to parse community report JSON")
-        .when(F.coalesce(field("title"), F.lit("")) == "", "community report missing title")
-        .when(F.coalesce(field("summary"), F.lit("")) == "", "community report missing summary")
-        .when((kind(found) == "STRING") & inner.isNull(), "community report findings is not a JSON list")
-        .when(~F.coalesce(F.when(kind(found) == "STRING", kind(inner)).otherwise(kind(found)).startswith("ARRAY"), F.lit(False)), "community report findings is not a list")
+        F.when(v.isNull() | ~kind(v).startswith("OBJECT") | (kind(v) == "OBJECT<>"), NO_REPORT)
+        .when(F.coalesce(field("title"), F.lit("")) == "", NO_TITLE)
+        .when(F.coalesce(field("summary"), F.lit("")) == "", NO_SUMMARY)
+        .when((kind(found) == "STRING") & inner.isNull(), NO_JSON_FINDINGS)
+        .when(~F.coalesce(F.when(kind(found) == "STRING", kind(inner)).otherwise(kind(found)).startswith("ARRAY"), F.lit(False)), NO_FINDINGS)
     )
 
 

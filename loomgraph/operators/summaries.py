@@ -53,6 +53,7 @@ def summarize(members: DataFrame, shown: int = 6, anchors: int = 3) -> tuple[Dat
     head = members.select("level", "cluster", "node").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= shown)
     first = head.groupBy("level", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]).alias("names"))
     first = first.filter(F.size("names") > 1)
+    # Fixed formats: names and texts of summary entities
     tokens = F.flatten(F.transform(F.slice("names", 1, anchors), lambda x: F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0))))
     anchor = F.upper(F.array_join(F.slice(tokens, 1, 4), "_"))
     name = F.concat(F.lit("L"), F.col("level"), F.lit("_C"), F.col("cluster"), F.lit("_"), F.when(anchor == "", F.concat(F.lit("LAYER_"), F.col("level"))).otherwise(anchor))
