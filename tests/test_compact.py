@@ -69,3 +69,24 @@ def test_in_tasks_as_by_joins(spark, strategy):
     costs = paths.EndCosts(edges, vec, q, 1.0, 0.15, 0.05, lambda e, b: graph.block_costs(e, edges, ev, b.join(q, "query_id"), paths.UNIT))
     got = [{x.query_id: (x.path, [tuple(d) for d in x.decisions]) for x in paths.bridge_paths(edges, keys, o, costs, small).collect()} for small in (0, paths.SMALL)]
     assert len(got[0]) == 3 and got[0] == got[1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_search_over_arrays(seed):
+    """The candidate edges are the cheapest of each node, and the search over arrays finds what the search over a Net finds."""
+    n, r = 60, random.Random(seed)
+    e = [x for x in drawn(n, 700, seed) if x[1] < n - 1] + [(n - 2, n - 1)]
+    g = local(e, n, [r.randrange(1, 30) for _ in e])
+    g.tokens = np.ones(len(g.near), np.int32)
+    o = paths.PathOptions(strategy="mcts", top_neighbours=2, iterations=12)
+    assert max(g.degree) > 8
+    u, k = g.candidates(list(range(n)), 1, 2)
+    assert sorted(zip(u.tolist(), g.near[k].tolist(), strict=True)) == sorted((i, v) for i in range(n) for _, v in sorted((int(g.cost[a]), int(g.near[a])) for a in range(g.first[i], g.first[i + 1]))[:2])
+    net = paths.Net((g.names[a], g.names[b], c * paths.UNIT, 1) for a, b, c in zip(u.tolist(), g.near[k].tolist(), g.cost[k].tolist(), strict=True))
+    arrays = compact.Candidates(g, k, paths.UNIT)
+    found = 0
+    for s, t in itertools.permutations(range(0, n, 7), 2):
+        want, got = paths.TreeSearch(net, g.names[s], g.names[t], o).run(), paths.TreeSearch(arrays, s, t, o, g.names).run()
+        assert ([g.names[i] for i in got[0]], *got[1:]) == want
+        found += len(want[0]) > 2
+    assert found
