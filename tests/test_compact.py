@@ -90,3 +90,28 @@ def test_tree_search_over_arrays(seed):
         assert ([g.names[i] for i in got[0]], *got[1:]) == want
         found += len(want[0]) > 2
     assert found
+
+
+def test_ceilings_of_many_edges(monkeypatch):
+    """Against merging the edges one by one; the cheapest edges are enough for near pairs, and no path is searched for a bound."""
+    n, r = 303, random.Random(7)
+    e = drawn(n - 3, 12_000, 7) + [(n - 3, n - 2)]  # n - 1 has no edge
+    c = [r.randrange(1, 900) for _ in e]
+    c[-2] = 5000
+    g = local([*e, (n - 1, n - 1)], n, [*c, 1])
+    pairs = [tuple(r.sample(range(n), 2)) for _ in range(200)] + [(n - 3, n - 2), (0, n - 1)]
+    com, want = list(range(n)), {}
+    for x, u, v in sorted((x, u, v) for (u, v), x in zip(e, c, strict=True)):
+        a, b = com[u], com[v]
+        com = [a if y == b else y for y in com]
+        for p in pairs:
+            if com[p[0]] == com[p[1]]:
+                want.setdefault(p, x)
+    monkeypatch.setattr(g, "cheapest", None)
+    tops = []
+    forest = g._forest
+    monkeypatch.setattr(g, "_forest", lambda lo, hi, com: (tops.append(hi), forest(lo, hi, com))[1])
+    assert g.ceilings(pairs) == [want.get(p) for p in pairs]
+    assert len(tops) > 2 and tops[0] < 200
+    tops.clear()
+    assert g.ceilings([e[c.index(1)]]) == [1] and len(tops) == 1
