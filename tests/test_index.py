@@ -230,3 +230,32 @@ def test_packets(spark):
     b = spark.createDataFrame([("win", q, float(q)) for q in range(6)] + [("loss", q, float(-q)) for q in range(6)], "bucket string, query_id int, score double")
     s = {r.query_id: r.bucket for r in evaluate.selected_queries(b, a, "query_id", {"win": 2, "loss": 1}, 5, 1).collect()}
     assert (s[5], s[4], s[0]) == ("win", "win", "loss") and len(s) == 5 and list(s.values()).count("random") == 2
+
+
+@pytest.mark.parametrize("budget", [20, 60, 400])
+def test_packed_descriptions_of_many_edges(spark, budget, monkeypatch):
+    """Against lists put together one by one; no list of a community's edges is longer than what its nodes can have within the budget."""
+    import itertools
+    import random
+
+    r = random.Random(budget)
+    names = [f"n{i:02}" for i in range(40)]
+    edges = [(u, v, r.choice([1, 3, 8, 30])) for u, v in itertools.combinations(names, 2) if r.random() < 0.5] + [("n00", "n00", 5), ("n01", "out", 2)]
+    members = [(0, f"0-{i % 3}", x) for i, x in enumerate(names)] + [(1, f"1-{i % 9}", x) for i, x in enumerate(names) if i % 3 < 2]
+    tokens = {x: r.randrange(1, 6) for x in names}
+    deg = {x: sum((u == x) + (v == x) for u, v, _ in edges) for x in [*names, "out"]}
+    want = {}
+    for c in {m[:2] for m in members}:
+        own = {m[2] for m in members if m[:2] == c}
+        n = list(itertools.accumulate(tokens[x] for x in sorted(own, key=lambda x: (-deg[x], x))))
+        e = list(itertools.accumulate(t for u, v, t in sorted(edges, key=lambda x: (-deg[x[0]] - deg[x[1]], *x)) if {u, v} & own))
+        a, b = ([x for x in y if x <= budget / 2] for y in (n, e))
+        want[c] = (len(a), len(b), max(a, default=0) + max(b, default=0), n[-1] > budget / 2 or e[-1] > budget / 2)
+    made = []
+    real = community.written
+    monkeypatch.setattr(community, "written", lambda df, name: (made.append(name), real(df, name))[1])
+    got = community.packed_descriptions(
+        spark.createDataFrame(members, "level int, community string, node string"), spark.createDataFrame(list(tokens.items()), "entity_name string, tokens int"), spark.createDataFrame(edges, "src string, tgt string, tokens int"), budget
+    )
+    assert {(x.level, x.community): (x.n_nodes, x.n_edges, x.used_tokens, x.truncated) for x in got.collect()} == want
+    assert made == ["degrees", "edges"]  # ranked by node, once for all levels
