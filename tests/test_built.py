@@ -65,3 +65,10 @@ def test_parcels(spark):
     p = compact.parcels(df.coalesce(1), 100).toArrow()
     src, tgt, w = compact.unpacked(p, lambda x: np.array([int(y[1:]) for y in x.to_pylist()]))
     assert sorted(zip(src.tolist(), tgt.tolist(), w.tolist(), strict=True)) == sorted((i % 7, i, float(i)) for i in range(1000))
+
+
+def test_mentions_need_no_shuffle(spark):
+    docs = spark.createDataFrame([*DOCS, (4, "GREEN MILL or Green Mill, The Mill.")], "doc_id bigint, text string")
+    own, given = retrieval.build_index(docs), retrieval.build_index(docs, extractor=extract.regex_entities)
+    assert sorted(map(tuple, own.mentions.collect())) == sorted(map(tuple, given.mentions.collect()))
+    assert own.mentions.groupBy("chunk_id", "node").count().filter("count > 1").count() == 0
